@@ -76,3 +76,9 @@ def small(df: DataFrame, rows: int) -> bool:
 def text_of(column: str = "text"):
     """The text, empty for null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def salted_join(big: DataFrame, keyed: DataFrame, keys: list[str], by: str, salts: int = 8, how: str = "inner") -> DataFrame:
+    """big join keyed, where keyed has one row a key: it is repeated under every salt, so the rows of a hot key of big spread over `salts` tasks."""
+    spread = keyed.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(spread, [*keys, "_salt"], how).drop("_salt")
