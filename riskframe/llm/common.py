@@ -82,3 +82,31 @@ def salted_join(big: DataFrame, keyed: DataFrame, keys: list[str], by: str, salt
     """big join keyed, where keyed has one row a key: it is repeated under every salt, so the rows of a hot key of big spread over `salts` tasks."""
     spread = keyed.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
+def pyarrow_place(uri: str):
+    """File system and path of a folder that Spark names; for workers, which read and write the shared folder with pyarrow."""
+    from pyarrow import fs
+
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = uri.replace("file:", "file://", 1)
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+
+
+def write_beside(rows: DataFrame) -> str:
+    """Write rows that have a column part, the number of the partition of a table's scan they belong to, a folder for each part."""
+    folder = shared_folder(rows.sparkSession)
+    rows.repartition("part").write.partitionBy("part").parquet(folder)
+    return folder
+
+
+def rows_beside(folder: str) -> pa.Table | None:
+    """In a task: what write_beside() has for this partition. Texts are thus joined with their rows where they are read, without a shuffle or a broadcast, as two scans of a table have the same partitions."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+    from pyspark import TaskContext
+
+    system, top = pyarrow_place(folder)
+    files = system.get_file_info(fs.FileSelector(f"{top}/part={TaskContext.get().partitionId()}", allow_not_found=True))
+    tables = [pq.ParquetFile(system.open_input_file(f.path)).read() for f in files if f.path.endswith(".parquet")]
+    return pa.concat_tables(tables) if tables else None

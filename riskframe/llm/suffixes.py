@@ -8,7 +8,8 @@ the place of the smallest hash among its grams of `gram` bytes, so equal strings
    hash of the context, the bytes that these strings cover. Within a batch of documents, anchors with a context that an
    earlier document of the batch has are settled at once, so hot passages are thinned before the shuffle.
 2. Anchors meet by gram, sorted by context and doc_id, and are read as a stream. Of equal contexts all but the smallest
-   document's are repeats. The smallest document's stay open where the gram has other contexts.
+   document's are repeats. The smallest document's stay open where another context of the gram agrees on the gram before
+   or the one after the anchor, one of which any common string has.
 3. The contexts of open anchors are sorted by bucket-pointer refinement: the first buckets are grams of 8 bytes within a
    gram hash; each refinement sorts places by their bucket and that of the place the same length further on, which
    doubles the length until it reaches `length`; the buckets found are used by the next refinement. Grams with more
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ANCHORS = "gram long, context long, doc_id long, at int, n int, settled boolean"
+#: code: 40 bits of the gram's hash, 8 bits for either side, then 1 for settled, 7 for the number of starts.
+ANCHORS = "code long, context long, doc_id long, at int, part int"
 _RANDOM = np.random.default_rng(20240101).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15
 #: Places are numbered within pieces of a text, in the low bits of a number whose high bits are a hash.
@@ -52,15 +54,21 @@ def gram_keys(data: np.ndarray, gram: int) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def anchors(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """gram hash, first start, number of starts of each anchor of a text."""
+def anchors(data: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """gram hash, first start, number of starts and sides of each anchor of a text.
+
+    A string that starts `gram` bytes or more before its anchor has all of the gram before the anchor, any other one the
+    gram after it (as length >= 3 * gram - 1). sides has 8 bits of either gram's hash, 0 where the anchor has no such string.
+    """
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    window, step = length - gram + 1, (1 << _PLACE) - 2 * length
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    window, step = length - gram + 1, (1 << _PLACE) - 4 * length
     parts = []
     for base in range(0, len(data) - length + 1, step):
-        piece = np.frombuffer(data, np.uint8, min(step + length - 1, len(data) - base), base)
-        keys = gram_keys(piece, gram) >> np.uint64(_PLACE)
+        before = min(base, gram)
+        piece = np.frombuffer(data, np.uint8, min(before + step + length - 1, len(data) - base + before), base - before)
+        whole = gram_keys(piece, gram)
+        keys = whole[before:] >> np.uint64(_PLACE)
         least, width = (keys << np.uint64(_PLACE)) | np.arange(len(keys), dtype=np.uint64), 1
         while 2 * width <= window:
             least = np.minimum(least[:-width], least[width:])
@@ -68,84 +76,111 @@ def anchors(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
         if window > width:
             least = np.minimum(least[: len(least) - (window - width)], least[window - width :])
         begins = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        parts.append(((least[begins] >> np.uint64(_PLACE)).astype(np.int64), begins + base, np.diff(np.append(begins, len(least)))))
+        counts = np.diff(np.append(begins, len(least)))
+        place = (least[begins] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+        side = (whole >> np.uint64(56)).astype(np.int64) | 1
+        early, late = place - begins >= gram, place - (begins + counts - 1) < gram
+        left = np.where(early, side[np.maximum(place + before - gram, 0)], 0)
+        right = np.where(late, side[np.minimum(place + before + gram, len(side) - 1)], 0)
+        parts.append(((least[begins] >> np.uint64(_PLACE)).astype(np.int64), begins + base, counts, left << 8 | right))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def found_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def make():
         import xxhash
+        from pyspark import TaskContext
 
-        hashed = xxhash.xxh64_intdigest
+        hashed, number = xxhash.xxh64_intdigest, TaskContext.get().partitionId()
 
         def work(batch: pa.RecordBatch) -> dict:
             parts, contexts, owners = [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                g, at, n = anchors(data, length, gram)
-                parts.append((g, at, n))
+                g, at, n, sides = anchors(data, length, gram)
+                parts.append((g, at, n, sides))
                 contexts += [hashed(data[a:e]) for a, e in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)]
                 owners.append(np.full(len(g), _NULL if doc is None else doc, np.int64))
-            g, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            g, at, n, sides = (np.concatenate(x) for x in zip(*parts, strict=True))
             context, owner = np.array(contexts, np.uint64).view(np.int64), np.concatenate(owners)
             order = np.lexsort((owner, context, g))
-            g, at, n, context, owner = (x[order] for x in (g, at, n, context, owner))
+            g, at, n, sides, context, owner = (x[order] for x in (g, at, n, sides, context, owner))
             new = np.concatenate(([True], (g[1:] != g[:-1]) | (context[1:] != context[:-1]))) if len(g) else np.zeros(0, bool)
             first = owner[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))] if len(g) else owner
             settled = owner > first
-            spread = (owner * 1_000_003 + at) & ((1 << (64 - _PLACE)) - 1)  # settled anchors are dealt out evenly
-            return {"gram": np.where(settled, spread, g), "context": context, "doc_id": owner, "at": at, "n": n, "settled": settled}
+            # settled anchors are dealt out evenly, not by gram
+            g = np.where(settled, (owner * 1_000_003 + at) & ((1 << (64 - _PLACE)) - 1), g)
+            code = g.astype(np.uint64) << np.uint64(_PLACE) | (sides << 8 | settled.astype(np.int64) << 7 | n).astype(np.uint64)
+            return {"code": code.view(np.int64), "context": context, "doc_id": owner, "at": at, "part": np.full(len(g), number, np.int32)}
 
         return work
 
     return common.per_batch(docs, make, ANCHORS)
 
 
-OPEN = "gram long, doc_id long, at int, n int, open boolean"
+OPEN = "gram long, doc_id long, at int, n int, part int, open boolean"
+#: Rows of one gram that settle() holds at most; past it the gram's anchors stay open without the test of sides.
+HELD = 200_000
 
 
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors sorted by gram, context, doc_id: repeats (open false) and anchors that other contexts of their gram must be compared with (open true). Settled anchors are repeats. One gram's first context waits for a second one; no group is held."""
-    last_gram = last_context = last_owner = None
-    waiting: list = []  # rows of the smallest document in the only context so far of the last gram
-
-    def batch_of(g, d, a, n, o):
-        return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(d, pa.int64()), pa.array(a, pa.int32()), pa.array(n, pa.int32()), pa.array(o, pa.bool_())], names=["gram", "doc_id", "at", "n", "open"])
-
+    """Anchors sorted by code, context, doc_id: repeats (open false) and anchors that other contexts of their gram must be compared with (open true). Settled anchors are repeats. Only the last gram's rows are held."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+
+    def batch_of(rows, chosen, opened):
+        code, _, d, at, part = (x[chosen] for x in rows)
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((code >> _PLACE, d, at, code & 127, part, opened), kinds, strict=True)], names=[x.split()[0] for x in OPEN.split(", ")])
+
+    def judge(rows: list[np.ndarray], last: tuple | None, whole: bool) -> tuple[pa.RecordBatch, tuple]:
+        code, c, d = rows[:3]
+        g = code >> _PLACE
+        new_g = np.concatenate(([True], g[1:] != g[:-1]))
+        new_c = new_g | np.concatenate(([True], c[1:] != c[:-1]))
+        if goes_on := last is not None and (g[0], c[0]) == last[:2]:
+            new_c[0] = False
+        begin = np.maximum.accumulate(np.where(new_c, np.arange(len(g)), -1))
+        owner = np.where(begin >= 0, d[np.maximum(begin, 0)], last[2] if goes_on else 0)
+        repeat = d > owner
+        if whole:
+            heads, of, shared = np.flatnonzero(new_c), np.cumsum(new_g), np.zeros(len(g), bool)
+            for shift in (16, 8):
+                side = (code >> shift) & 255
+                _, back, count = np.unique((of << 8 | side)[heads], return_inverse=True, return_counts=True)
+                shared |= ((count[back] > 1) & (side[heads] > 0))[np.cumsum(new_c) - 1]
+            out = repeat | shared
+        else:
+            out = np.ones(len(g), bool)
+        return batch_of(rows, out, ~repeat[out]), (g[-1], c[-1], owner[-1])
+
+    held, streaming, last = None, None, None  # rows of the last gram; the gram that is too large to hold, and its last row
     for batch in batches:
-        done = batch.column("settled").to_numpy(zero_copy_only=False)
-        g, c, d, a, n = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("gram", "context", "doc_id", "at", "n"))
-        if done.any():
-            yield batch_of(g[done], d[done], a[done], n[done], np.zeros(int(done.sum()), bool))
-            g, c, d, a, n = (x[~done] for x in (g, c, d, a, n))
-        if not len(g):
+        rows = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+        if (done := (rows[0] & 128) > 0).any():
+            yield batch_of(rows, done, np.zeros(int(done.sum()), bool))
+            rows = [x[~done] for x in rows]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            held = None
+        if streaming is not None and len(rows[0]):
+            if n := int(np.searchsorted(rows[0] >> _PLACE, streaming, "right")):
+                out, last = judge([x[:n] for x in rows], last, False)
+                yield out
+                rows = [x[n:] for x in rows]
+            if len(rows[0]):
+                streaming = last = None
+        if not len(rows[0]):
             continue
-        size, number = len(g), np.arange(len(g))
-        new_g, new_c = np.ones(size, bool), np.ones(size, bool)
-        new_g[1:] = g[1:] != g[:-1]
-        new_c[1:] = new_g[1:] | (c[1:] != c[:-1])
-        new_g[0] = last_gram is None or g[0] != last_gram
-        new_c[0] = new_g[0] or c[0] != last_context
-        begin = np.maximum.accumulate(np.where(new_c, number, -1))
-        owner = np.where(begin >= 0, d[np.maximum(begin, 0)], last_owner if last_owner is not None else 0)
-        repeat = d > owner
-        # grams are numbered within the batch, 0 for the one that goes on; contexts of each are counted
-        of = np.cumsum(new_g)
-        kinds = np.bincount(of, weights=new_c, minlength=of[-1] + 1).astype(int)
-        if not new_g[0]:
-            kinds[0] += 1 if waiting else 2  # what the batches before had: one context, or several
-        several = kinds[of] > 1
-        if not new_g[0] and waiting and kinds[0] > 1:
-            w = [np.concatenate(x) for x in zip(*waiting, strict=True)]
-            yield batch_of(*w, np.ones(len(w[0]), bool))
-        if new_g.any() or kinds[0] > 1:
-            waiting = []
-        tail = (of == of[-1]) & ~repeat
-        out = repeat | several
-        if kinds[of[-1]] == 1 and tail.any():
-            waiting.append(tuple(x[tail] for x in (g, d, a, n)))
-        yield batch_of(g[out], d[out], a[out], n[out], ~repeat[out])
-        last_gram, last_context, last_owner = g[-1], c[-1], owner[-1]
+        cut = int(np.searchsorted(g := rows[0] >> _PLACE, g[-1]))
+        if cut:
+            yield judge([x[:cut] for x in rows], None, True)[0]
+        held = [x[cut:] for x in rows]
+        if len(held[0]) > HELD:
+            streaming = held[0][0] >> _PLACE
+            out, last = judge(held, None, False)
+            yield out
+            held = None
+    if held is not None:
+        yield judge(held, None, True)[0]
 
 
 def refine(group: pd.DataFrame, length: int) -> pd.DataFrame:
@@ -179,7 +214,8 @@ def refine(group: pd.DataFrame, length: int) -> pd.DataFrame:
     np.minimum.at(least, b, owners)
     gone = places[owners > least[b]] if len(b) else places
     start = group["at"].to_numpy()[row[gone]] + inside[gone]
-    return runs(group["doc_id"].to_numpy()[row[gone]], start, start + length)
+    part = group["part"].to_numpy()[row[gone]]
+    return pd.concat([pd.DataFrame(columns=["doc_id", "begin", "stop", "part"]).astype({"doc_id": "int64", "begin": "int32", "stop": "int32", "part": "int32"})] + [runs(group["doc_id"].to_numpy()[row[gone]][part == p], start[part == p], start[part == p] + length).assign(part=np.int32(p)) for p in np.unique(part)])
 
 
 def runs(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pd.DataFrame:
@@ -199,81 +235,82 @@ def runs(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": d, "begin": b.astype(np.int32), "stop": e.astype(np.int32)})
 
 
-def packed(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row a document: doc_id, parts (array of structs of the columns)."""
-    return rows.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("parts"))
-
-
-def beside(docs: DataFrame, parts: DataFrame, how: str) -> DataFrame:
-    """docs(doc_id, text) with parts. Few parts are sent to the texts; else both sides are shuffled."""
-    n = parts.agg(F.count("*"), F.sum(F.size("parts"))).first()
-    few = n[0] <= 500_000 and (n[1] or 0) <= 4_000_000
-    return docs.join(F.broadcast(parts) if few else parts, "doc_id", how)
-
-
 def contexts(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
-    """gram, doc_id, at, bytes of open anchors. A row whose doc_id another row has may be shorter than an anchor; those give what there is."""
+    """gram, doc_id, at, part, bytes of open anchors, taken from the texts where they are read."""
+    folder = common.write_beside(opened.select("doc_id", "gram", "at", "n", "part"))
 
     def make():
+        from pyspark import TaskContext
+
+        beside, number = common.rows_beside(folder), TaskContext.get().partitionId()
+        columns = {c: beside.column(c).to_numpy() for c in ("doc_id", "gram", "at", "n")} if beside is not None else {c: np.zeros(0, np.int64) for c in ("doc_id", "gram", "at", "n")}
+        order = np.lexsort((columns["at"], columns["gram"], columns["doc_id"]))
+        # rows of one doc_id are one document: its anchors count once
+        ids, gram, at, n = (columns[c][order] for c in ("doc_id", "gram", "at", "n"))
+        same = (ids[1:] == ids[:-1]) & (gram[1:] == gram[:-1]) & (at[1:] == at[:-1]) if len(ids) else np.zeros(0, bool)
+        fresh = np.concatenate(([True], ~same)) if len(ids) else np.zeros(0, bool)
+        ids, gram, at, n = (x[fresh] for x in (ids, gram, at, n))
+
         def work(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {"gram": [], "doc_id": [], "at": [], "bytes": []}
-            for doc, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "parts")), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                for x in parts:
-                    out["gram"].append(x["gram"])
-                    out["doc_id"].append(doc)
-                    out["at"].append(x["at"])
-                    out["bytes"].append(data[x["at"] : x["at"] + x["n"] + length - 1])
-            return out
+            owners = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            low, high = np.searchsorted(ids, owners), np.searchsorted(ids, owners, "right")
+            for i in np.flatnonzero(high > low):
+                data = batch.column("text")[int(i)].as_py().encode("utf-8", "surrogatepass")
+                span = slice(low[i], high[i])
+                out["gram"] += gram[span].tolist()
+                out["doc_id"] += [int(owners[i])] * int(high[i] - low[i])
+                out["at"] += at[span].tolist()
+                out["bytes"] += [data[a : a + k + length - 1] for a, k in zip(at[span].tolist(), n[span].tolist(), strict=True)]
+            return out | {"part": [number] * len(out["at"])}
 
         return work
 
-    parts = common.cut(packed(opened, "gram", "at", "n"))
-    return common.per_batch(beside(docs, parts, "inner").select("doc_id", "text", "parts"), make, "gram long, doc_id long, at int, bytes binary")
+    return common.per_batch(docs, make, "gram long, doc_id long, at int, bytes binary, part int")
 
 
 def repeated(docs: DataFrame, length: int = 50, gram: int = 16, hot: int = 20_000, bucket_rows: int = 40_000) -> DataFrame:
-    """doc_id, begin, stop: byte spans of docs(doc_id, text) that go; they may overlap."""
+    """doc_id, begin, stop, part: byte spans of docs(doc_id, text) that go; they may overlap. part is the number of the partition of docs."""
     tasks = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = found_anchors(docs, length, gram)
-    streams = found.repartition("gram").sortWithinPartitions("gram", "context", "doc_id")
+    streams = found.repartition(F.shiftright("code", _PLACE)).sortWithinPartitions("code", "context", "doc_id")
     judged = common.cut(streams.mapInArrow(settle, OPEN))
-    span = lambda rows: rows.select("doc_id", F.col("at").alias("begin"), (F.col("at") + F.col("n") + F.lit(length - 1)).cast("int").alias("stop"))
-    opened = judged.filter("open").select("gram", "doc_id", "at", "n")
-    texts = common.cut(contexts(docs, opened, length))
+    span = lambda rows: rows.select("doc_id", F.col("at").alias("begin"), (F.col("at") + F.col("n") + F.lit(length - 1)).cast("int").alias("stop"), "part")
+    texts = common.cut(contexts(docs, judged.filter("open"), length))
     counted = texts.groupBy("gram").agg(F.count("*").alias("c"))
     heavy = F.broadcast(counted.filter(F.col("c") > hot).select("gram"))  # at most a 1/hot of the open anchors
     parts = max(tasks, -(-texts.count() // bucket_rows))
     cold = texts.join(heavy, "gram", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(parts)))
-    refined = cold.groupBy("bucket").applyInPandas(lambda g: refine(g, length), "doc_id long, begin int, stop int")
-    strings = texts.join(heavy, "gram", "left_semi").select("doc_id", "at", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("i"))
-    strings = strings.select("doc_id", (F.col("at") + F.col("i")).cast("int").alias("begin"), F.sha2(F.substring("bytes", F.col("i") + 1, F.lit(length)), 256).alias("s"))
+    refined = cold.groupBy("bucket").applyInPandas(lambda g: refine(g, length), "doc_id long, begin int, stop int, part int")
+    strings = texts.join(heavy, "gram", "left_semi").select("doc_id", "at", "bytes", "part", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("i"))
+    strings = strings.select("doc_id", "part", (F.col("at") + F.col("i")).cast("int").alias("begin"), F.sha2(F.substring("bytes", F.col("i") + 1, F.lit(length)), 256).alias("s"))
     first = strings.groupBy("s").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("most > least").select("s", "least")
-    spread = common.salted_join(strings, first, ["s"], "doc_id").filter("doc_id > least").select("doc_id", "begin", (F.col("begin") + length).cast("int").alias("stop"))
+    spread = common.salted_join(strings, first, ["s"], "doc_id").filter("doc_id > least").select("doc_id", "begin", (F.col("begin") + length).cast("int").alias("stop"), "part")
     return span(judged.filter("NOT open")).unionByName(refined).unionByName(spread)
 
 
 def report(docs: DataFrame, length: int = 50, gram: int = 16) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row. docs must be a table as read, so that each scan of it has the same partitions; write any other one first (common.cut)."""
     common.prepare(docs.sparkSession)
     texts = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), common.text_of().alias("text"))
-    parts = common.cut(packed(repeated(texts, length, gram), "begin", "stop"))
+    folder = common.write_beside(repeated(texts, length, gram))
 
     def make():
+        beside = common.rows_beside(folder)
+        columns = [beside.column(c).to_numpy() for c in ("doc_id", "begin", "stop")] if beside is not None else [np.zeros(0, np.int64)] * 3
+        spans = runs(*columns)
+        ids, begin, stop = (spans[c].to_numpy() for c in ("doc_id", "begin", "stop"))
+
         def work(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-            for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "parts")), strict=True):
-                data, keep, here, n = text.encode("utf-8", "surrogatepass"), hashlib.sha256(), 0, 0
-                removed = 0
-                for x in sorted((x["begin"], min(x["stop"], len(data))) for x in spans or ()):
-                    if x[1] <= here and n:
-                        continue
-                    if x[0] > here or not n:
-                        n += 1
-                        keep.update(data[here : x[0]])
-                        here = x[0]
-                    removed += x[1] - here
-                    here = x[1]
+            owners = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            low, high = np.searchsorted(ids, owners), np.searchsorted(ids, owners, "right")
+            for doc, text, a, e in zip(owners.tolist(), batch.column("text").to_pylist(), low, high, strict=True):
+                data, keep, here, removed, n = text.encode("utf-8", "surrogatepass"), hashlib.sha256(), 0, 0, 0
+                for x, y in zip(begin[a:e].tolist(), stop[a:e].tolist(), strict=True):
+                    if x < (y := min(y, len(data))):
+                        keep.update(data[here:x])
+                        removed, here, n = removed + y - x, y, n + 1
                 keep.update(data[here:])
                 for c, v in (("doc_id", None if doc == _NULL else doc), ("n_bytes", len(data)), ("n_removed", removed), ("n_spans", n), ("kept_sha256", keep.hexdigest())):
                     out[c].append(v)
@@ -281,7 +318,7 @@ def report(docs: DataFrame, length: int = 50, gram: int = 16) -> DataFrame:
 
         return work
 
-    return common.per_batch(beside(texts, parts, "left").select("doc_id", "text", "parts"), make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return common.per_batch(texts, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -153,17 +153,6 @@ def parsed(data: bytes) -> tuple:
     return int(page) if page else None, sizes[0], digest, kind, int(refers) if refers else None
 
 
-def open_fs(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
-def local(uri: str) -> str:
-    """file:/x as file:///x, which pyarrow takes."""
-    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
-
-
 def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
     """page_id, refers_to of pages whose payload a smaller page_id has. Digests are aggregated first, and the join is salted."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
@@ -176,7 +165,6 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2024
     """One archive a partition; their names (one a task on the driver)."""
     links = revisits(pages, least_bytes).withColumnRenamed("page_id", "_id")
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).join(links, F.col("page_id") == F.col("_id"), "left").drop("_id")
-    folder = local(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -190,7 +178,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2024
         some = records()
         if (one := next(some, None)) is None:
             return
-        system, top = open_fs(folder)
+        system, top = common.pyarrow_place(folder)
         system.create_dir(top, recursive=True)
         draft, final = f"{top}/.{task.partitionId()}-{task.taskAttemptId()}", f"{top}/{task.partitionId():06d}.warc.zst"
 
@@ -213,7 +201,7 @@ def read(spark, archives: list[str]) -> DataFrame:
         def work(batch: pa.RecordBatch) -> dict:
             out = []
             for uri in batch.column("uri").to_pylist():
-                system, path = open_fs(uri)
+                system, path = common.pyarrow_place(uri)
                 n = 0
                 try:
                     with system.open_input_stream(path, compression=None) as source:
