@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-BANDS = 6
+#: Min-hash values of a document, and how many of them group documents.
+VALUES, BANDS = 16, 6
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Odd multipliers, one a band.
-_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ^ 0xD6E8FEB86659FD93 * i) & 0xFFFFFFFFFFFFFFFF | 1 for i in range(BANDS)], np.uint64)
+#: Odd multipliers, one a min-hash value.
+_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ^ 0xD6E8FEB86659FD93 * i) & 0xFFFFFFFFFFFFFFFF | 1 for i in range(VALUES)], np.uint64)
 
 
 class Shingler:
@@ -148,17 +149,18 @@ def verified(docs: DataFrame, members: DataFrame, queries: DataFrame, k: int, pe
     hold = members.join(parts, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = ask.select("grp", "salt", "node", F.lit(1).alias("role")).unionByName(hold.select("grp", "salt", "node", F.lit(0).alias("role")))
     rows = common.cut(rows)
-    items = common.cut(sets_of(docs, rows.select("node").distinct(), k)).dropDuplicates(["node", "items"])
-    full = common.salted_join(rows, items, ["node"], "grp", 4)
+    items = sets_of(docs, common.cut(rows.select("node").distinct()), k)
+    full = items.join(F.broadcast(rows) if common.small(rows, 1_000_000) else rows, "node")
     return full.groupBy("grp", "salt").applyInPandas(lambda g: open_groups(g, percent), "a long, b long")
 
 
 def stars(reps: DataFrame, percent: int) -> DataFrame:
-    """member, hub: each document and the smallest one with which it shares a min-hash value, where sizes allow a link."""
-    values = reps.select(F.col("doc_id").alias("node"), "n", F.posexplode("mins").alias("band", "value"))
-    hubs = values.groupBy("band", "value").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("most")).filter(F.col("most") > F.col("hub.node")).select("band", "value", "hub")
-    found = common.salted_join(values, hubs, ["band", "value"], "node")
-    fits = (F.col("node") != F.col("hub.node")) & (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
+    """member, hub: each document and the smallest one with which it shares a min-hash value, where sizes allow a link and over half of all values agree. What this misses is left to the matrix."""
+    values = reps.select(F.col("doc_id").alias("node"), "n", "mins", F.posexplode(F.slice("mins", 1, BANDS)).alias("band", "value"))
+    hubs = values.groupBy("band", "value").agg(F.min(F.struct("node", "n", "mins")).alias("hub"), F.max("node").alias("most")).filter(F.col("most") > F.col("hub.node")).select("band", "value", "hub")
+    found = common.salted_join(values, hubs, ["band", "value"], "node", 4)
+    alike = F.size(F.filter(F.zip_with("mins", "hub.mins", lambda a, b: a == b), lambda x: x)) > VALUES // 2
+    fits = (F.col("node") != F.col("hub.node")) & (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent) & alike
     return found.filter(fits).select(F.col("node").alias("member"), F.col("hub.node").alias("hub")).distinct()
 
 
@@ -196,32 +198,38 @@ def candidates(docs: DataFrame, reps: DataFrame, comps: DataFrame, k: int, perce
         out = rows.join(F.broadcast(placed) if small else placed, "node", "left")
         return out.select("node", "n", "prefix", F.coalesce("root", "node").alias("root"), F.coalesce("grp", F.xxhash64("node", F.lit(0))).alias("grp"))
 
-    rows = common.cut(with_group(reps.select(F.col("doc_id").alias("node"), "n", "prefix")))
-    hot = np.zeros(0, np.uint64)
-    for _ in range(5):
+    first = with_group(reps.select(F.col("doc_id").alias("node"), "n", "prefix"))
+    rows, hot, counted = first, np.zeros(0, np.uint64), None
+    for turn in range(2):
         tokens = rows.select("node", "root", F.explode("prefix").alias("token"))
         counted = common.cut(tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token", "c"))
+        if turn:
+            break
         limit = hot_rows
         while (new := counted.filter(F.col("c") > limit)).count() > 200_000:  # the list of hot tokens has a fixed size
             limit *= 4
-        # at most 200 000 tokens; hot tokens only set the order, so the limit changes no result
-        found = np.array([r[0] for r in new.select("token").collect()], np.int64).view(np.uint64)
-        if not len(found := np.setdiff1d(found, hot)):
+        # at most 200 000 tokens; they only set the order, so the limit changes no result
+        hot = np.sort(np.array([r[0] for r in new.select("token").collect()], np.int64).view(np.uint64))
+        if not len(hot):
             break
-        hot = np.union1d(hot, found)
-        late = new.select("token")
-        ids = common.cut(common.salted_join(tokens, late, ["token"], "node").select("node").distinct())
-        changed = reordered(docs, ids, hot, k, percent).dropDuplicates(["doc_id", "n", "prefix"])
-        rows = common.cut(rows.join(ids, "node", "left_anti").unionByName(with_group(changed.select(F.col("doc_id").alias("node"), "n", "prefix"))))
+        ids = common.cut(tokens.join(F.broadcast(new.select("token")), "token").select("node").distinct())
+        changed = common.cut(reordered(docs, ids, hot, k, percent)).dropDuplicates(["doc_id", "n", "prefix"])
+        rest = first.join(F.broadcast(ids) if common.small(ids, 1_000_000) else ids, "node", "left_anti")
+        rows = rest.unionByName(with_group(changed.select(F.col("doc_id").alias("node"), "n", "prefix")))
     both = counted.select("token")
     few = common.small(both, 1_000_000)
-    posts = rows.select("node", "n", "root", "grp", F.explode("prefix").alias("token"))
+    posts = rows.select("node", "n", "root", "grp", F.size("prefix").alias("p"), F.explode("prefix").alias("token"))
     posts = common.cut(posts.join(F.broadcast(both) if few else both, "token"))
-    matrix = posts.groupBy("token", "grp", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    rest = F.col("n") - F.col("p")
+    matrix = posts.groupBy("token", "grp", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(rest).alias("rest"))
     q, g = posts.alias("q"), matrix.alias("g")
     fits = (F.col("q.root") > F.col("g.root")) & (F.col("q.n") * percent <= F.col("g.most") * 100) & (F.col("g.least") * percent <= F.col("q.n") * 100)
-    queries = q.join(g, (F.col("q.token") == F.col("g.token")) & fits).select("g.grp", "q.node").distinct()
-    return posts.select("grp").distinct().join(rows.select("grp", "node"), "grp"), queries
+    met = q.join(g, (F.col("q.token") == F.col("g.token")) & fits).groupBy("g.grp", "q.node").agg(F.count("*").alias("c"), F.min("g.least").alias("least"), F.max(F.greatest(F.col("q.n") - F.col("q.p"), F.col("g.rest"))).alias("rest"), F.max("q.n").alias("n"))
+    # of two prefixes the one that ends first in the order is wholly known to the other, so what it does not share is missing
+    queries = met.filter((F.col("rest") + F.col("c")) * (100 + percent) >= (F.col("n") + F.col("least")) * percent).select("grp", "node")
+    asked = common.cut(queries)
+    members = rows.select("grp", "node").join(asked.select("grp").distinct(), "grp", "left_semi").distinct()
+    return members, asked
 
 
 def classes(docs: DataFrame, k: int = 4, percent: int = 85, hot_rows: int = 64, slice_rows: int = 64) -> DataFrame:
@@ -233,8 +241,7 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85, hot_rows: int = 64,
     equal = common.salted_join(linkable.select("key", "doc_id"), same, ["key"], "doc_id").filter("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     equal = common.cut(equal)
     copies = equal.select(F.col("a").alias("doc_id"))
-    others = linkable.join(F.broadcast(copies) if common.small(copies, 1_000_000) else copies, "doc_id", "left_anti").dropDuplicates(["doc_id", "key"])
-    reps = common.cut(others.drop("key"))
+    reps = linkable.join(F.broadcast(copies) if common.small(copies, 1_000_000) else copies, "doc_id", "left_anti").drop("key")
     star = common.cut(stars(reps, percent))
     hubs = star.select(F.col("hub").alias("grp"), F.col("hub").alias("node")).distinct()
     near = common.cut(verified(docs, hubs, star.select(F.col("hub").alias("grp"), F.col("member").alias("node")), k, percent))
