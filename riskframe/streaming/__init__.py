@@ -1,0 +1 @@
+"""Nothing here yet: the analytical pipeline has no streaming operator."""
