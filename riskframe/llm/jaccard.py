@@ -6,13 +6,14 @@ least `percent` hundredths. The result is exact: the components of all links.
 1. Documents with equal sets are one class; one of them, the smallest doc_id, stands for it.
 2. Similar documents are partitioned into groups by min-hash values. A group is first opened for its smallest member only
    (a star, not all pairs), which joins most similar documents into provisional components at linear cost.
-3. Groups of the matrix are slices of at most `slice_rows` documents of a provisional component. The matrix holds for
+3. Groups of the matrix are slices of about `slice_rows` documents of a provisional component, or of documents outside
+   any that share a min-hash value. The matrix holds for
    each group the union of its members' prefix tokens: with size n, any partner shares one of the first
    n - ceil(t n) + 1 tokens in a common order. Tokens that lie in one component only are dropped. Frequent tokens go to
    the end of the order, so a passage that many documents share does not make all of them candidates.
-4. A document is a query to the groups of other components that share a prefix token and fit in size. The group's full
+4. A document is a query to its own group and those before it that share a prefix token and fit in size. The group's full
    token union bounds the overlap with any member; only groups whose bound reaches t times the query's size are opened
-   and compared member by member. As a group lies in one component, the first match settles it.
+   and compared member by member. One match settles a component.
 5. Components of all links found.
 
 Defined results. Null or empty text, or one without words: an empty set, linked with nothing, its own component.
@@ -118,9 +119,9 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def open_groups(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links of a group's queries (role 1) to its members (role 0); at most one a query."""
+    """Links of a group's queries (role 1) to its members (role 0); at most one for each component (root) of members."""
     sets = [np.frombuffer(x, np.uint64) for x in group["items"]]
-    nodes, roles = group["node"].to_numpy(), group["role"].to_numpy()
+    nodes, roles, roots = (group[c].to_numpy() for c in ("node", "role", "root"))
     members = [i for i in range(len(sets)) if roles[i] == 0]
     union = np.unique(np.concatenate([sets[i] for i in members])) if len(members) > 1 else sets[members[0]] if members else np.zeros(0, np.uint64)
     out = []
@@ -128,18 +129,19 @@ def open_groups(group: pd.DataFrame, percent: int) -> pd.DataFrame:
         n = len(sets[q])
         if 100 * overlap(sets[q], union) < percent * n:
             continue
+        known = {roots[q]}
         for m in members:
             size = len(sets[m])
-            if nodes[m] != nodes[q] and 100 * min(n, size) >= percent * max(n, size):
+            if roots[m] not in known and 100 * min(n, size) >= percent * max(n, size):
                 both = overlap(sets[q], sets[m])
                 if 100 * both >= percent * (n + size - both):
                     out.append((nodes[q], nodes[m]))
-                    break
+                    known.add(roots[m])
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def verified(docs: DataFrame, members: DataFrame, queries: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links a, b of queries (grp, node) to members (grp, node). A group's queries are split over salts, its few members go to each."""
+    """Links a, b of queries (grp, node, root) to members (grp, node, root). A group's queries are split over salts, its few members go to each."""
     salts = 8
     queries = common.cut(queries)
     counted = queries.groupBy("grp").agg(F.count("*").alias("c"))
@@ -147,7 +149,7 @@ def verified(docs: DataFrame, members: DataFrame, queries: DataFrame, k: int, pe
     parts = counted.select("grp", F.least(F.lit(4096), F.ceil(F.col("c") / 256)).cast("int").alias("parts"))
     ask = common.salted_join(queries, parts, ["grp"], "node", salts).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
     hold = members.join(parts, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = ask.select("grp", "salt", "node", F.lit(1).alias("role")).unionByName(hold.select("grp", "salt", "node", F.lit(0).alias("role")))
+    rows = ask.select("grp", "salt", "node", "root", F.lit(1).alias("role")).unionByName(hold.select("grp", "salt", "node", "root", F.lit(0).alias("role")))
     rows = common.cut(rows)
     items = sets_of(docs, common.cut(rows.select("node").distinct()), k)
     full = items.join(F.broadcast(rows) if common.small(rows, 1_000_000) else rows, "node")
@@ -165,40 +167,44 @@ def stars(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def reordered(docs: DataFrame, ids: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFrame:
-    """doc_id, n, prefix of these documents with the hot tokens last in the order."""
+    """doc_id, n, prefix, value (the first min-hash value) of these documents with the hot tokens last in the order."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def make():
         shingle, late = Shingler(k), sent.value
 
-        def first(text: str | None) -> tuple[int, np.ndarray]:
+        def first(text: str | None) -> tuple[int, np.ndarray, int]:
             s = shingle(text)
             at = np.searchsorted(late, s)
             at[at == len(late)] = 0
             is_hot = late[at] == s
-            return len(s), signed(np.concatenate((s[~is_hot], s[is_hot]))[: prefix_size(len(s), percent)])
+            value = int(signed((s[:, None] * _ODD[:1]).min(0))[0]) if len(s) else None
+            return len(s), signed(np.concatenate((s[~is_hot], s[is_hot]))[: prefix_size(len(s), percent)]), value
 
         def work(batch: pa.RecordBatch) -> dict:
             done = [first(x) for x in batch.column("text").to_pylist()]
-            return {"doc_id": batch.column("doc_id"), "n": [d[0] for d in done], "prefix": [d[1] for d in done]}
+            return {"doc_id": batch.column("doc_id"), "n": [d[0] for d in done], "prefix": [d[1] for d in done], "value": [d[2] for d in done]}
 
         return work
 
-    return common.per_batch(of_ids(docs, ids), make, "doc_id long, n long, prefix array<long>")
+    return common.per_batch(of_ids(docs, ids), make, "doc_id long, n long, prefix array<long>, value long")
 
 
 def candidates(docs: DataFrame, reps: DataFrame, comps: DataFrame, k: int, percent: int, hot_rows: int, slice_rows: int) -> tuple[DataFrame, DataFrame]:
     """Members (grp, node) and queries (grp, node) between provisional components."""
     sizes = comps.groupBy("root").agg((F.count("*") + 1).alias("size"))
     placed = comps.join(sizes, "root").select("node", "root", "size").unionByName(sizes.select(F.col("root").alias("node"), "root", "size"))
-    placed = common.cut(placed.withColumn("grp", F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / slice_rows)))))
-    small = common.small(placed, 500_000)
+    placed = common.cut(placed.withColumn("own", F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / slice_rows)))).drop("size"))
+    slices = common.cut(reps.groupBy(F.get("mins", F.lit(0)).alias("value")).agg(F.count("*").alias("c")).filter(F.col("c") > slice_rows).select("value", F.ceil(F.col("c") / slice_rows).alias("slices")))
+    placed, slices = (F.broadcast(x) if common.small(x, 500_000) else x for x in (placed, slices))
 
     def with_group(rows: DataFrame) -> DataFrame:
-        out = rows.join(F.broadcast(placed) if small else placed, "node", "left")
-        return out.select("node", "n", "prefix", F.coalesce("root", "node").alias("root"), F.coalesce("grp", F.xxhash64("node", F.lit(0))).alias("grp"))
+        """node, n, prefix, root, grp: documents of a component are grouped by it, others by a min-hash value."""
+        out = rows.join(placed, "node", "left").join(slices, "value", "left")
+        alike = F.xxhash64("value", F.pmod(F.xxhash64("node"), F.coalesce("slices", F.lit(1))), F.lit("value"))
+        return out.select("node", "n", "prefix", F.coalesce("root", "node").alias("root"), F.coalesce("own", alike).alias("grp"))
 
-    first = with_group(reps.select(F.col("doc_id").alias("node"), "n", "prefix"))
+    first = with_group(reps.select(F.col("doc_id").alias("node"), "n", "prefix", F.get("mins", F.lit(0)).alias("value")))
     rows, hot, counted = first, np.zeros(0, np.uint64), None
     for turn in range(2):
         tokens = rows.select("node", "root", F.explode("prefix").alias("token"))
@@ -215,20 +221,21 @@ def candidates(docs: DataFrame, reps: DataFrame, comps: DataFrame, k: int, perce
         ids = common.cut(tokens.join(F.broadcast(new.select("token")), "token").select("node").distinct())
         changed = common.cut(reordered(docs, ids, hot, k, percent)).dropDuplicates(["doc_id", "n", "prefix"])
         rest = first.join(F.broadcast(ids) if common.small(ids, 1_000_000) else ids, "node", "left_anti")
-        rows = rest.unionByName(with_group(changed.select(F.col("doc_id").alias("node"), "n", "prefix")))
+        rows = rest.unionByName(with_group(changed.select(F.col("doc_id").alias("node"), "n", "prefix", "value")))
     both = counted.select("token")
     few = common.small(both, 1_000_000)
     posts = rows.select("node", "n", "root", "grp", F.size("prefix").alias("p"), F.explode("prefix").alias("token"))
     posts = common.cut(posts.join(F.broadcast(both) if few else both, "token"))
     rest = F.col("n") - F.col("p")
-    matrix = posts.groupBy("token", "grp", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(rest).alias("rest"))
+    matrix = posts.groupBy("token", "grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(rest).alias("rest"))
     q, g = posts.alias("q"), matrix.alias("g")
-    fits = (F.col("q.root") > F.col("g.root")) & (F.col("q.n") * percent <= F.col("g.most") * 100) & (F.col("g.least") * percent <= F.col("q.n") * 100)
-    met = q.join(g, (F.col("q.token") == F.col("g.token")) & fits).groupBy("g.grp", "q.node").agg(F.count("*").alias("c"), F.min("g.least").alias("least"), F.max(F.greatest(F.col("q.n") - F.col("q.p"), F.col("g.rest"))).alias("rest"), F.max("q.n").alias("n"))
+    # a pair is met from the group that comes last; a group all of the query's component needs no test
+    fits = (F.col("q.grp") >= F.col("g.grp")) & ~((F.col("g.r0") == F.col("g.r1")) & (F.col("q.root") == F.col("g.r0")))
+    fits = fits & (F.col("q.n") * percent <= F.col("g.most") * 100) & (F.col("g.least") * percent <= F.col("q.n") * 100)
+    met = q.join(g, (F.col("q.token") == F.col("g.token")) & fits).groupBy("g.grp", "q.node", "q.root").agg(F.count("*").alias("c"), F.min("g.least").alias("least"), F.max(F.greatest(F.col("q.n") - F.col("q.p"), F.col("g.rest"))).alias("rest"), F.max("q.n").alias("n"))
     # of two prefixes the one that ends first in the order is wholly known to the other, so what it does not share is missing
-    queries = met.filter((F.col("rest") + F.col("c")) * (100 + percent) >= (F.col("n") + F.col("least")) * percent).select("grp", "node")
-    asked = common.cut(queries)
-    members = rows.select("grp", "node").join(asked.select("grp").distinct(), "grp", "left_semi").distinct()
+    asked = common.cut(met.filter((F.col("rest") + F.col("c")) * (100 + percent) >= (F.col("n") + F.col("least")) * percent).select("grp", "node", "root"))
+    members = rows.select("grp", "node", "root").join(asked.select("grp").distinct(), "grp", "left_semi").distinct()
     return members, asked
 
 
@@ -243,8 +250,8 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85, hot_rows: int = 64,
     copies = equal.select(F.col("a").alias("doc_id"))
     reps = linkable.join(F.broadcast(copies) if common.small(copies, 1_000_000) else copies, "doc_id", "left_anti").drop("key")
     star = common.cut(stars(reps, percent))
-    hubs = star.select(F.col("hub").alias("grp"), F.col("hub").alias("node")).distinct()
-    near = common.cut(verified(docs, hubs, star.select(F.col("hub").alias("grp"), F.col("member").alias("node")), k, percent))
+    hubs = star.select(F.col("hub").alias("grp"), F.col("hub").alias("node"), F.col("hub").alias("root")).distinct()
+    near = common.cut(verified(docs, hubs, star.select(F.col("hub").alias("grp"), F.col("member").alias("node"), F.col("member").alias("root")), k, percent))
     members, queries = candidates(docs, reps, components(near), k, percent, hot_rows, slice_rows)
     cross = verified(docs, members, queries, k, percent)
     roots = components(near.unionByName(cross).unionByName(equal))
