@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BITS, FAMILIES = 20, 24
+BITS, FAMILIES = 20, 16
 _WORD = 63  # bits of a slot map's numbers that are used
 
 
@@ -107,7 +107,7 @@ def with_next(rows: DataFrame, cuts: list[int], columns: list[str]) -> DataFrame
     return own.unionByName(heads).withColumns(named).filter(~F.col("_copy")).drop("_at", "_copy")
 
 
-def fingerprints(docs: DataFrame, low: float = 0.0005, high: float = 0.2, rows_each: int = 8000) -> DataFrame:
+def fingerprints(docs: DataFrame, low: float = 0.0005, high: float = 0.2, rows_each: int = 2000) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select("doc_id", common.text_of().alias("text"))
     found = lexicon(texts, low, high).first()[0]  # 2^BITS bits, whatever the corpus

@@ -1,8 +1,8 @@
 """Token ids of whole texts, and the Parquet token file (operator 3).
 
 encode: a text is split before single blanks and line ends that stand between non-blank characters. No token of the
-supported tokenizers spans such a place, so the ids of a text are those of its chunks in order; each worker keeps the
-ids of chunks it has met, and only new chunks go to the tokenizer.
+supported tokenizers spans such a place, so the ids of a text are those of its chunks in order; each worker keeps the ids
+of chunks it has met, and only new ones go to the tokenizer.
 
 Token file: Parquet with one row per document in ascending doc_id order, ids as a list column. The writer's second
 format version gives integer lists dictionary pages and delta-packed pages where the dictionary grows too large; the
@@ -15,10 +15,12 @@ ids_crc32. Empty table: an empty file set and no rows. Other columns of the inpu
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,18 @@ def chunks(text: str) -> list[str]:
     return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
 
 
+class Codes(dict):
+    """Numbers chunks as they are met; new ones are listed."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class Encoder:
     """Ids of texts by a tokenizer file, with the ids of at most `keep` chunks kept."""
 
@@ -57,33 +71,49 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Codes()
         self.flat, self.starts, self.lengths = array("I"), array("q"), array("q")
 
-    def learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
+    def learn(self) -> None:
+        """Ids of the new chunks. A full stop or comma after a letter or digit is a token apart, so only what is before it needs the tokenizer."""
+        known = self.known
+        ended = [(known[c], known[c[:-1]], known[c[-1]]) for c in list(known.new) if len(c) > 1 and c[-1] in ".," and c[-2].isalnum()]
+        derived = {c for c, _, _ in ended}
+        plain = [c for c in known.new if known[c] not in derived]
+        more = [0] * (len(known) - len(self.starts))
+        self.starts.extend(more)
+        self.lengths.extend(more)
+        for at in range(0, len(plain), 10_000):
+            part = plain[at : at + 10_000]
             for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = found.ids
-                self.known[chunk] = len(self.starts)
-                self.starts.append(len(self.flat))
-                self.lengths.append(len(ids))
+                ids, code = found.ids, known[chunk]
+                self.starts[code], self.lengths[code] = len(self.flat), len(ids)
                 self.flat.extend(ids)
+        for code, core, end in ended:
+            begin = len(self.flat)
+            for one in (core, end):
+                self.flat.extend(self.flat[self.starts[one] : self.starts[one] + self.lengths[one]])
+            self.starts[code], self.lengths[code] = begin, len(self.flat) - begin
+        known.new.clear()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, END_ID after each text, and the number of ids of each text."""
         if len(self.known) > self.keep:
             self.clear()
         parts = [chunks(x) for x in texts]
-        flat_parts = [c for p in parts for c in p]
-        if new := list(set(flat_parts).difference(self.known)):
-            self.learn(new)
-        codes = np.fromiter(map(self.known.__getitem__, flat_parts), np.int64, len(flat_parts))
+        count = [len(p) for p in parts]
+        codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, sum(count))
+        if self.known.new:
+            gc.disable()  # many short-lived objects, none of them in cycles
+            try:
+                self.learn()
+            finally:
+                gc.enable()
         flat, starts, lengths = (np.frombuffer(x, t) for x, t in ((self.flat, np.uint32), (self.starts, np.int64), (self.lengths, np.int64)))
         n = lengths[codes]
         before = np.concatenate(([0], np.cumsum(n)))
         ids = flat[np.repeat(starts[codes] - before[:-1], n) + np.arange(before[-1])]
-        ends = before[np.cumsum([len(p) for p in parts])]  # of each text, among ids
+        ends = before[np.cumsum(count)]  # of each text, among ids
         return np.insert(ids, ends, END_ID).astype(np.uint32), np.diff(ends, prepend=0) + 1
 
 
