@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -225,21 +225,23 @@ def candidates(docs: DataFrame, reps: DataFrame, comps: DataFrame, k: int, perce
     both = counted.select("token")
     few = common.small(both, 1_000_000)
     posts = rows.select("node", "n", "root", "grp", F.size("prefix").alias("p"), F.explode("prefix").alias("token"))
-    posts = common.cut(posts.join(F.broadcast(both) if few else both, "token"))
+    posts = posts.join(F.broadcast(both) if few else both, "token").withColumn("s", F.count("*").over(Window.partitionBy("node")))
+    # of a linked pair's prefixes the one that ends first in the order is wholly known to the other document: its tokens
+    # that no other component has are missing there, so that document must reach the threshold without them
+    posts = common.cut(posts.withColumn("strong", (F.col("n") - F.col("p") + F.col("s")) * 100 >= F.col("n") * percent).drop("s"))
     rest = F.col("n") - F.col("p")
-    matrix = posts.groupBy("token", "grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(rest).alias("rest"))
+    matrix = posts.groupBy("token", "grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(rest).alias("rest"), F.max("strong").alias("strong"))
     q, g = posts.alias("q"), matrix.alias("g")
     # a pair is met from the group that comes last; a group all of the query's component needs no test
     fits = (F.col("q.grp") >= F.col("g.grp")) & ~((F.col("g.r0") == F.col("g.r1")) & (F.col("q.root") == F.col("g.r0")))
-    fits = fits & (F.col("q.n") * percent <= F.col("g.most") * 100) & (F.col("g.least") * percent <= F.col("q.n") * 100)
+    fits = fits & (F.col("q.strong") | F.col("g.strong")) & (F.col("q.n") * percent <= F.col("g.most") * 100) & (F.col("g.least") * percent <= F.col("q.n") * 100)
     met = q.join(g, (F.col("q.token") == F.col("g.token")) & fits).groupBy("g.grp", "q.node", "q.root").agg(F.count("*").alias("c"), F.min("g.least").alias("least"), F.max(F.greatest(F.col("q.n") - F.col("q.p"), F.col("g.rest"))).alias("rest"), F.max("q.n").alias("n"))
-    # of two prefixes the one that ends first in the order is wholly known to the other, so what it does not share is missing
     asked = common.cut(met.filter((F.col("rest") + F.col("c")) * (100 + percent) >= (F.col("n") + F.col("least")) * percent).select("grp", "node", "root"))
     members = rows.select("grp", "node", "root").join(asked.select("grp").distinct(), "grp", "left_semi").distinct()
     return members, asked
 
 
-def classes(docs: DataFrame, k: int = 4, percent: int = 85, hot_rows: int = 64, slice_rows: int = 64) -> DataFrame:
+def classes(docs: DataFrame, k: int = 4, percent: int = 85, hot_rows: int = 32, slice_rows: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs(doc_id, text)."""
     common.prepare(docs.sparkSession)
     rows = common.cut(signatures(docs, k, percent))

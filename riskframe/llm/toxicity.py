@@ -6,7 +6,7 @@ held-out fold (crc32 of the id as text, modulo 5, is 0) are learnt from. The mod
 bounded size, `per_class` rows of either label taken by hash of the id; the intercept is then moved to the label shares
 of all learnable rows. Everything else covers all rows: each whole text is scored in one pass without a shuffle.
 
-Terms kept in the model: in at least 3 sample texts, and either tied to the label (chi-square over 6) or among the
+Terms kept in the model: in at least 3 sample texts, and either tied to the label (chi-square over 10) or among the
 `common` most frequent ones, which can still matter in pairs.
 
 Defined results. Null or empty text: no terms, the intercept's score. Null labels are not learnt from; a document with
@@ -65,7 +65,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, factors: int = 8, epochs: int = 12, common_terms: int = 2000, seed: int = 1) -> Model:
+def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, factors: int = 8, epochs: int = 12, common_terms: int = 300, seed: int = 1) -> Model:
     """Adagrad on the logistic loss. texts: the distinct hashed terms of each sample text; share: of toxic ones among all learnable rows."""
     n, n1 = len(labels), int(labels.sum())
     if not n or n1 in (0, n):
@@ -78,14 +78,14 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, factors: int
     chi = (k1 - expected) ** 2 / np.maximum(expected * (1 - n1 / n) * np.maximum(1 - a / n, 1e-9), 1e-9)
     often = np.zeros(1 << BITS, bool)
     often[np.argsort(-a, kind="stable")[:common_terms]] = True
-    kept = np.flatnonzero((a >= 3) & ((chi > 6) | often))
+    kept = np.flatnonzero((a >= 3) & ((chi > 10) | often))
     number = np.full(1 << BITS, -1)
     number[kept] = np.arange(len(kept))
     rows = [(r := number[t])[r >= 0] for t in texts]
     draw = np.random.default_rng(seed)
     w, v, b = np.zeros(len(kept)), draw.normal(0, 0.01, (len(kept), factors)), float(np.log(n1 / (n - n1)))
     gw, gv, gb = np.full(len(kept), 1e-6), np.full((len(kept), factors), 1e-2), 1e-6
-    for epoch in range(epochs):
+    for _ in range(max(epochs, 40_000 // n)):  # small samples need more rounds for as many steps
         for part in np.array_split(draw.permutation(n), max(1, n // 32)):
             idx = np.concatenate([rows[i] for i in part])
             doc = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
@@ -113,7 +113,7 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:
     """The model from at most per_class rows of either label."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
