@@ -7,7 +7,7 @@ least `percent` hundredths. The result is exact: the components of all links.
 2. Similar documents are partitioned into groups by min-hash values. A group is first opened for its smallest member only
    (a star, not all pairs), which joins most similar documents into provisional components at linear cost.
 3. Groups of the matrix are slices of about `slice_rows` documents of a provisional component, or of documents outside
-   any that share a min-hash value. The matrix holds for
+   any whose most frequent min-hash value is the same. The matrix holds for
    each group the union of its members' prefix tokens: with size n, any partner shares one of the first
    n - ceil(t n) + 1 tokens in a common order. Tokens that lie in one component only are dropped. Frequent tokens go to
    the end of the order, so a passage that many documents share does not make all of them candidates.
@@ -167,44 +167,52 @@ def stars(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def reordered(docs: DataFrame, ids: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFrame:
-    """doc_id, n, prefix, value (the first min-hash value) of these documents with the hot tokens last in the order."""
+    """doc_id, n, prefix of these documents with the hot tokens last in the order."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def make():
         shingle, late = Shingler(k), sent.value
 
-        def first(text: str | None) -> tuple[int, np.ndarray, int]:
+        def first(text: str | None) -> tuple[int, np.ndarray]:
             s = shingle(text)
             at = np.searchsorted(late, s)
             at[at == len(late)] = 0
             is_hot = late[at] == s
-            value = int(signed((s[:, None] * _ODD[:1]).min(0))[0]) if len(s) else None
-            return len(s), signed(np.concatenate((s[~is_hot], s[is_hot]))[: prefix_size(len(s), percent)]), value
+            return len(s), signed(np.concatenate((s[~is_hot], s[is_hot]))[: prefix_size(len(s), percent)])
 
         def work(batch: pa.RecordBatch) -> dict:
             done = [first(x) for x in batch.column("text").to_pylist()]
-            return {"doc_id": batch.column("doc_id"), "n": [d[0] for d in done], "prefix": [d[1] for d in done], "value": [d[2] for d in done]}
+            return {"doc_id": batch.column("doc_id"), "n": [d[0] for d in done], "prefix": [d[1] for d in done]}
 
         return work
 
-    return common.per_batch(of_ids(docs, ids), make, "doc_id long, n long, prefix array<long>, value long")
+    return common.per_batch(of_ids(docs, ids), make, "doc_id long, n long, prefix array<long>")
+
+
+def by_value(reps: DataFrame, slice_rows: int) -> DataFrame:
+    """node, own: a group for each document that shares a min-hash value, by the most frequent of its values, so that variants of one text come into few groups."""
+    values = reps.select(F.col("doc_id").alias("node"), F.explode(F.slice("mins", 1, BANDS)).alias("value"))
+    shared = values.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1")
+    best = common.salted_join(values, shared, ["value"], "node", 4).groupBy("node").agg(F.max(F.struct("c", "value")).alias("best"))
+    return best.select("node", F.xxhash64("best.value", F.pmod(F.xxhash64("node"), F.ceil(F.col("best.c") / slice_rows)), F.lit("value")).alias("own"))
 
 
 def candidates(docs: DataFrame, reps: DataFrame, comps: DataFrame, k: int, percent: int, hot_rows: int, slice_rows: int) -> tuple[DataFrame, DataFrame]:
     """Members (grp, node) and queries (grp, node) between provisional components."""
     sizes = comps.groupBy("root").agg((F.count("*") + 1).alias("size"))
     placed = comps.join(sizes, "root").select("node", "root", "size").unionByName(sizes.select(F.col("root").alias("node"), "root", "size"))
-    placed = common.cut(placed.withColumn("own", F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / slice_rows)))).drop("size"))
-    slices = common.cut(reps.groupBy(F.get("mins", F.lit(0)).alias("value")).agg(F.count("*").alias("c")).filter(F.col("c") > slice_rows).select("value", F.ceil(F.col("c") / slice_rows).alias("slices")))
-    placed, slices = (F.broadcast(x) if common.small(x, 500_000) else x for x in (placed, slices))
+    placed = placed.withColumn("own", F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / slice_rows)))).drop("size")
+    valued = by_value(reps, slice_rows).select("node", F.lit(None).cast("long").alias("root"), "own")
+    # a document of a component is grouped by it, any other by its value
+    placed = common.cut(placed.unionByName(valued).groupBy("node").agg(F.max("root").alias("root"), F.max_by("own", F.col("root").isNotNull()).alias("own")))
+    placed = F.broadcast(placed) if common.small(placed, 500_000) else placed
 
     def with_group(rows: DataFrame) -> DataFrame:
-        """node, n, prefix, root, grp: documents of a component are grouped by it, others by a min-hash value."""
-        out = rows.join(placed, "node", "left").join(slices, "value", "left")
-        alike = F.xxhash64("value", F.pmod(F.xxhash64("node"), F.coalesce("slices", F.lit(1))), F.lit("value"))
-        return out.select("node", "n", "prefix", F.coalesce("root", "node").alias("root"), F.coalesce("own", alike).alias("grp"))
+        """node, n, prefix, root, grp; a document without a group is one alone."""
+        out = rows.withColumnRenamed("doc_id", "node").join(placed, "node", "left")
+        return out.select("node", "n", "prefix", F.coalesce("root", "node").alias("root"), F.coalesce("own", F.xxhash64("node", F.lit("alone"))).alias("grp"))
 
-    first = with_group(reps.select(F.col("doc_id").alias("node"), "n", "prefix", F.get("mins", F.lit(0)).alias("value")))
+    first = with_group(reps.select("doc_id", "n", "prefix"))
     rows, hot, counted = first, np.zeros(0, np.uint64), None
     for turn in range(2):
         tokens = rows.select("node", "root", F.explode("prefix").alias("token"))
@@ -221,7 +229,7 @@ def candidates(docs: DataFrame, reps: DataFrame, comps: DataFrame, k: int, perce
         ids = common.cut(tokens.join(F.broadcast(new.select("token")), "token").select("node").distinct())
         changed = common.cut(reordered(docs, ids, hot, k, percent)).dropDuplicates(["doc_id", "n", "prefix"])
         rest = first.join(F.broadcast(ids) if common.small(ids, 1_000_000) else ids, "node", "left_anti")
-        rows = rest.unionByName(with_group(changed.select(F.col("doc_id").alias("node"), "n", "prefix", "value")))
+        rows = rest.unionByName(with_group(changed))
     both = counted.select("token")
     few = common.small(both, 1_000_000)
     posts = rows.select("node", "n", "root", "grp", F.size("prefix").alias("p"), F.explode("prefix").alias("token"))
