@@ -2,7 +2,7 @@
 
 encode: a text is split before single blanks and line ends that stand between non-blank characters. No token of the
 supported tokenizers spans such a place, so the ids of a text are those of its chunks in order; each worker keeps the ids
-of chunks it has met, and only new ones go to the tokenizer.
+of chunks it has met, and only new ones go to the tokenizer, plain words many at a time as one text.
 
 Token file: Parquet with one row per document in ascending doc_id order, ids as a list column. The writer's second
 format version gives integer lists dictionary pages and delta-packed pages where the dictionary grows too large; the
@@ -32,6 +32,8 @@ from . import common
 END_ID = 1
 _BLANKS = re.compile(r"\s\s")
 _PLACES = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Marks that are no letters or digits to any supported tokenizer, and what a chunk inside a text begins with.
+_MARKS, _LEADS = ".,;:!?#$%&*()\"", (" ", "\n")
 
 
 def vocabulary(name: str) -> str:
@@ -68,6 +70,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keep = keep
+        # words joined into one text are told apart by the tokens that end a word, or begin with the blank before it
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.at_end = bool(suffix)
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.edge[[i for t, i in self.tokenizer.get_vocab().items() if (t.endswith(suffix) if suffix else t[:1] in ("\u0120", "\u010a"))]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -75,27 +82,52 @@ class Encoder:
         self.flat, self.starts, self.lengths = array("I"), array("q"), array("q")
 
     def learn(self) -> None:
-        """Ids of the new chunks. A full stop or comma after a letter or digit is a token apart, so only what is before it needs the tokenizer."""
+        """Ids of the new chunks. Marks after a letter or digit are tokens apart, so a chunk that ends in them has the ids of what is before them and of the marks."""
         known = self.known
-        ended = [(known[c], known[c[:-1]], known[c[-1]]) for c in list(known.new) if len(c) > 1 and c[-1] in ".," and c[-2].isalnum()]
+        ended = []
+        for c in list(known.new):
+            if c[-1:] in _MARKS and (core := c.rstrip(_MARKS)) and core[-1].isalnum():
+                ended.append((known[c], known[core], known[c[len(core) :]]))
         derived = {c for c, _, _ in ended}
         plain = [c for c in known.new if known[c] not in derived]
-        more = [0] * (len(known) - len(self.starts))
-        self.starts.extend(more)
-        self.lengths.extend(more)
-        for at in range(0, len(plain), 10_000):
-            part = plain[at : at + 10_000]
+        words = [c for c in plain if c[:1] in _LEADS and c[1:].isalpha()]
+        more = bytes(8 * (len(known) - len(self.starts)))
+        self.starts.frombytes(more)
+        self.lengths.frombytes(more)
+        starts, lengths = np.frombuffer(self.starts, np.int64), np.frombuffer(self.lengths, np.int64)
+        done = set()
+        for at in range(0, len(words), 64 * 256):
+            groups = [words[i : i + 64] for i in range(at, min(at + 64 * 256, len(words)), 64)]
+            for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, np.uint32)
+                marks = np.flatnonzero(self.edge[ids])
+                if len(marks) == len(group):  # every word has an edge at least, so each has one
+                    begin = np.append(0, marks[:-1] + 1) if self.at_end else marks
+                    codes = [known[c] for c in group]
+                    starts[codes], lengths[codes] = begin + len(self.flat), np.diff(begin, append=len(ids))
+                    self.flat.frombytes(ids.tobytes())
+                    done.update(codes)
+        rest = [c for c in plain if known[c] not in done]
+        for at in range(0, len(rest), 10_000):
+            part = rest[at : at + 10_000]
             for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 ids, code = found.ids, known[chunk]
-                self.starts[code], self.lengths[code] = len(self.flat), len(ids)
+                starts[code], lengths[code] = len(self.flat), len(ids)
                 self.flat.extend(ids)
-        for code, core, end in ended:
-            begin = len(self.flat)
-            for one in (core, end):
-                self.flat.extend(self.flat[self.starts[one] : self.starts[one] + self.lengths[one]])
-            self.starts[code], self.lengths[code] = begin, len(self.flat) - begin
+        if ended:
+            table = np.array(ended, np.int64)
+            ids, before = self.gather(table[:, 1:].ravel())
+            starts[table[:, 0]], lengths[table[:, 0]] = before[:-1:2] + len(self.flat), np.diff(before[::2])
+            self.flat.frombytes(ids.tobytes())
         known.new.clear()
 
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks in a row, and how many of them are before each chunk and after all."""
+        flat, starts, lengths = (np.frombuffer(x, t) for x, t in ((self.flat, np.uint32), (self.starts, np.int64), (self.lengths, np.int64)))
+        n = lengths[codes]
+        before = np.concatenate(([0], np.cumsum(n)))
+        return flat[np.repeat(starts[codes] - before[:-1], n) + np.arange(before[-1])], before
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, END_ID after each text, and the number of ids of each text."""
         if len(self.known) > self.keep:
@@ -109,10 +141,7 @@ class Encoder:
                 self.learn()
             finally:
                 gc.enable()
-        flat, starts, lengths = (np.frombuffer(x, t) for x, t in ((self.flat, np.uint32), (self.starts, np.int64), (self.lengths, np.int64)))
-        n = lengths[codes]
-        before = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(starts[codes] - before[:-1], n) + np.arange(before[-1])]
+        ids, before = self.gather(codes)
         ends = before[np.cumsum(count)]  # of each text, among ids
         return np.insert(ids, ends, END_ID).astype(np.uint32), np.diff(ends, prepend=0) + 1
 
