@@ -61,9 +61,9 @@ class Codes(dict):
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file, with the ids of at most `keep` chunks kept."""
+    """Ids of texts by a tokenizer file, with the ids of about `keep` chunks kept; beyond that the half that was used most stays."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -80,6 +80,18 @@ class Encoder:
     def clear(self) -> None:
         self.known = Codes()
         self.flat, self.starts, self.lengths = array("I"), array("q"), array("q")
+        self.uses = np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        often = np.argsort(-self.uses, kind="stable")[: self.keep // 2]
+        often = often[self.uses[often] > 1]
+        names = list(self.known)
+        ids, before = self.gather(often)
+        self.clear()
+        self.known.update((names[c], i) for i, c in enumerate(often.tolist()))
+        self.flat.frombytes(ids.tobytes())
+        self.starts.frombytes(before[:-1].astype(np.int64).tobytes())
+        self.lengths.frombytes(np.diff(before).astype(np.int64).tobytes())
 
     def learn(self) -> None:
         """Ids of the new chunks. Marks after a letter or digit are tokens apart, so a chunk that ends in them has the ids of what is before them and of the marks."""
@@ -131,7 +143,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, END_ID after each text, and the number of ids of each text."""
         if len(self.known) > self.keep:
-            self.clear()
+            self.shrink()
         parts = [chunks(x) for x in texts]
         count = [len(p) for p in parts]
         codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, sum(count))
@@ -141,6 +153,9 @@ class Encoder:
                 self.learn()
             finally:
                 gc.enable()
+        uses = np.bincount(codes, minlength=len(self.known))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         ids, before = self.gather(codes)
         ends = before[np.cumsum(count)]  # of each text, among ids
         return np.insert(ids, ends, END_ID).astype(np.uint32), np.diff(ends, prepend=0) + 1
