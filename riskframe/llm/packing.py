@@ -18,6 +18,7 @@ rows: packed like any other row. Empty table: no rows. Other columns are ignored
 from __future__ import annotations
 
 from math import floor
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -80,19 +81,27 @@ def fill(group: pd.DataFrame, totals: list[int], length: int, windows: int, kind
     share = np.array([totals[q] / all_tokens for q in queues])
     begun = number * windows * length
     deficit = np.array([(begun * totals[q] - segments[q][0].at * all_tokens) / all_tokens for q in queues])
-    place, out, window = {q: (0, 0) for q in queues}, [], 0
+    blobs = {q: np.concatenate([np.frombuffer(x.ids, kind) for x in segments[q]]).astype("<u4").tobytes() for q in queues}
+    place, spent, window = {q: (0, 0) for q in queues}, dict.fromkeys(queues, 0), 0
+    rows: list[tuple] = []  # segment, its tokens before the piece, length, checksum, window, offset
+    base = dict(zip(queues, np.cumsum([0, *(len(segments[q]) for q in queues[:-1])]).tolist(), strict=True))
     while left.sum():
         offset = 0
-        for q, n in zip(queues, deal(share, deficit, left, min(length, int(left.sum()))), strict=True):
+        for q, n in zip(queues, deal(share, deficit, left, min(length, int(left.sum()))).tolist(), strict=True):
+            (i, used), sizes, blob, at, first = place[q], counts[q], blobs[q], spent[q], base[q]
             while n > 0:
-                i, used = place[q]
-                x, k = segments[q][i], min(int(n), counts[q][i] - used)
-                ids = np.frombuffer(x.ids, kind)[used : used + k]
-                out.append((x.doc_id, x.start + used, k, tokens.crc(ids), x.doc_tokens, number * windows + window, offset))
-                offset, n = offset + k, n - k
-                place[q] = (i, used + k) if used + k < counts[q][i] else (i + 1, 0)
+                k = min(n, sizes[i] - used)
+                rows.append((first + i, used, k, crc32(blob[4 * at : 4 * (at + k)]), window, offset))
+                at, offset, n, used = at + k, offset + k, n - k, used + k
+                if used == sizes[i]:
+                    i, used = i + 1, 0
+            place[q], spent[q] = (i, used), at
         window += 1
-    return pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
+    segment, used, size, check, window_of, offsets = np.array(rows, np.int64).T
+    ordered = [group[c].to_numpy() for c in ("doc_id", "start", "doc_tokens")]  # group is in the order of queues
+    doc_id, start, doc_tokens = (c[segment] for c in ordered)
+    columns = (doc_id, start + used, size, check, doc_tokens, number * windows + window_of, offsets)
+    return pd.DataFrame(dict(zip([c.split()[0] for c in PIECES.split(", ")], columns, strict=True)))
 
 
 def queue_of(docs: DataFrame, queues: int) -> tuple[DataFrame, list]:
