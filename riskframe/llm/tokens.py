@@ -20,10 +20,10 @@ import os
 import re
 import zlib
 from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +42,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def chunks(text: str) -> list[str]:
-    if "\x00" in text or _BLANKS.search(text):
-        return _PLACES.split(text)
-    return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
+def chunks(texts: list[str]) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The number of chunks of each text, and the chunks of all."""
+    kind = pa.large_string()
+    if any("\x00" in x for x in texts):
+        lists = pa.array([_PLACES.split(x) for x in texts], pa.list_(kind))
+    else:
+        marked = ["\x00".join(_PLACES.split(x)) if _BLANKS.search(x) else x.replace(" ", "\x00 ").replace("\n", "\x00\n") for x in texts]
+        lists = pc.split_pattern(pa.array(marked, kind), "\x00")
+    return lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().dictionary_encode()
 
 
 class Codes(dict):
@@ -63,7 +68,7 @@ class Codes(dict):
 class Encoder:
     """Ids of texts by a tokenizer file, with the ids of about `keep` chunks kept; beyond that the half that was used most stays."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -95,35 +100,36 @@ class Encoder:
 
     def learn(self) -> None:
         """Ids of the new chunks. Marks after a letter or digit are tokens apart, so a chunk that ends in them has the ids of what is before them and of the marks."""
-        known = self.known
-        ended = []
-        for c in list(known.new):
-            if c[-1:] in _MARKS and (core := c.rstrip(_MARKS)) and core[-1].isalnum():
-                ended.append((known[c], known[core], known[c[len(core) :]]))
-        derived = {c for c, _, _ in ended}
-        plain = [c for c in known.new if known[c] not in derived]
-        words = [c for c in plain if c[:1] in _LEADS and c[1:].isalpha()]
+        known, ended, words, codes, rest = self.known, [], [], [], []
+        for code, c in enumerate(known.new, len(self.starts)):  # grows by the parts of chunks that end in marks
+            if c[1:].isalpha() and c[0] in _LEADS:
+                words.append(c)
+                codes.append(code)
+            elif c[-1:] in _MARKS and (core := c.rstrip(_MARKS)) and core[-1].isalnum():
+                ended.append((code, known[core], known[c[len(core) :]]))
+            else:
+                rest.append((c, code))
         more = bytes(8 * (len(known) - len(self.starts)))
         self.starts.frombytes(more)
         self.lengths.frombytes(more)
         starts, lengths = np.frombuffer(self.starts, np.int64), np.frombuffer(self.lengths, np.int64)
-        done = set()
+        of_words = np.array(codes, np.int64)
         for at in range(0, len(words), 64 * 256):
-            groups = [words[i : i + 64] for i in range(at, min(at + 64 * 256, len(words)), 64)]
-            for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, np.uint32)
+            places = range(at, min(at + 64 * 256, len(words)), 64)
+            joined = ["".join(words[i : i + 64]) for i in places]
+            for i, found in zip(places, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                ids, group = np.array(found.ids, np.uint32), of_words[i : i + 64]
                 marks = np.flatnonzero(self.edge[ids])
                 if len(marks) == len(group):  # every word has an edge at least, so each has one
                     begin = np.append(0, marks[:-1] + 1) if self.at_end else marks
-                    codes = [known[c] for c in group]
-                    starts[codes], lengths[codes] = begin + len(self.flat), np.diff(begin, append=len(ids))
+                    starts[group], lengths[group] = begin + len(self.flat), np.diff(begin, append=len(ids))
                     self.flat.frombytes(ids.tobytes())
-                    done.update(codes)
-        rest = [c for c in plain if known[c] not in done]
+                else:
+                    rest.extend(zip(words[i : i + 64], group.tolist(), strict=True))
         for at in range(0, len(rest), 10_000):
             part = rest[at : at + 10_000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids, code = found.ids, known[chunk]
+            for (_, code), found in zip(part, self.tokenizer.encode_batch_fast([c for c, _ in part], add_special_tokens=False), strict=True):
+                ids = found.ids
                 starts[code], lengths[code] = len(self.flat), len(ids)
                 self.flat.extend(ids)
         if ended:
@@ -144,9 +150,9 @@ class Encoder:
         """All ids in a row, END_ID after each text, and the number of ids of each text."""
         if len(self.known) > self.keep:
             self.shrink()
-        parts = [chunks(x) for x in texts]
-        count = [len(p) for p in parts]
-        codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, sum(count))
+        count, found = chunks(texts)
+        names = found.dictionary.to_numpy(zero_copy_only=False)
+        codes = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[found.indices.to_numpy()]
         if self.known.new:
             gc.disable()  # many short-lived objects, none of them in cycles
             try:
