@@ -235,3 +235,18 @@ def test_pipeline_keeps_the_columns(spark, docs, tmp_path):
         assert step.columns == docs.columns, name
     assert 0 < step.count() < docs.count()
     assert corpus_pipeline.run(spark, str(tmp_path)).select(F.sum("length")).first()[0] > 0
+
+
+ODD = ["", " ", "  a", "don't can't I'll", "İstanbul İİ\nİ x", "a\n\nb", "x́ ý.", "１２ ²³. x²,", "\x00 a", " \x01 b", "<|endoftext|> a", "가 각\n한글.", "a'.s b's.", "Ġa Ċb", "A,B,C, d.,;", "\ta b\r\nc d　f", "...", " ...", "😀 é😀.", "ﬁ ﬂ, ǅ ß\nẞ."]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_the_tokenizer(name):
+    use = tokens.Encoder(tokens.vocabulary(name), keep=40)
+    for turn in range(4):  # the cache overflows in between
+        texts = [*ODD, *(f"word{turn} {'ab' * i}, common{chr(97 + i)}.\nnext" for i in range(30))]
+        for part in (texts, [x for x in texts if "\x00" not in x]):
+            ids, n = use.encode(part)
+            ends = np.cumsum(n)
+            want = [x.ids + [tokens.END_ID] for x in use.tokenizer.encode_batch(part, add_special_tokens=False)]
+            assert [ids[e - k : e].tolist() for e, k in zip(ends, n, strict=True)] == want
