@@ -5,8 +5,13 @@ lines or `least_words` words is a window. The smallest line hash of a window is
 same place, so any repeated run of that length shares a fingerprint, and fewer places than lines are chosen. Places whose
 fingerprint occurs once are dropped. From the shared places the match is extended both ways: all windows over such a
 place, before and after it, are compared by the hash of all their lines, and the earliest place (doc_id, line) of each
-window is found by an aggregate. Every window that occurs earlier is deleted with all its lines; overlapping windows
-join to the whole repeated run. So a line goes exactly if it lies in a window that starts at an earlier place too.
+window is found by an aggregate. Every window that occurs earlier is deleted with all its lines.
+
+Overlapping windows do not reach the end of a repeated run whose last lines are too short for a window of their own.
+`dedup` therefore also compares each window with the lines after it, one more at a time, up to where the window of the
+next line ends: so a line goes exactly if it lies in a run of lines that holds a window and starts at an earlier place
+too. Before the first window no line is left over, as the window from a line before it ends no later. `report`, the query
+with SQL, has the rule of its SQL: a line goes exactly if it lies in a window that starts at an earlier place too.
 
 Defined results. Null text: no lines, stays null. Runs shorter than a window stay. Blank lines stay. Judged on the input,
 not on what is left. Null doc_id: sorted before all others. Repeated rows with one doc_id: their lines count as one
@@ -32,7 +37,8 @@ def units(text: str | None) -> list[tuple[int, bytes]]:
     return [(i, x) for i, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")) if (x := line.strip())]
 
 
-def windows(docs: DataFrame, least_lines: int, least_words: int) -> DataFrame:
+def windows(docs: DataFrame, least_lines: int, least_words: int, extend: bool = False) -> DataFrame:
+    """A row a window; with extend also a row for each run of a window and the next lines that the next line's window does not cover."""
     def make():
         import xxhash
 
@@ -53,9 +59,13 @@ def windows(docs: DataFrame, least_lines: int, least_words: int) -> DataFrame:
                     else:
                         break
                     k = min(range(i, j + 1), key=hashes.__getitem__)
-                    whole = xxhash.xxh64_intdigest(b"\n".join(x for _, x in lines[i : j + 1]), 1)
-                    for c, v in (("doc_id", doc), ("first", lines[i][0]), ("last", lines[j][0]), ("place", lines[k][0]), ("mark", signed(hashes[k])), ("window", signed(whole))):
-                        out[c].append(v)
+                    ends = [j]
+                    while extend and (j := j + 1) < len(lines) and j - i < least_lines and sum(sizes[i + 1 : j + 1]) < least_words:
+                        ends.append(j)
+                    for end in ends:
+                        whole = xxhash.xxh64_intdigest(b"\n".join(x for _, x in lines[i : end + 1]), 1)
+                        for c, v in (("doc_id", doc), ("first", lines[i][0]), ("last", lines[end][0]), ("place", lines[k][0]), ("mark", signed(hashes[k])), ("window", signed(whole))):
+                            out[c].append(v)
             return out
 
         return work
@@ -63,9 +73,9 @@ def windows(docs: DataFrame, least_lines: int, least_words: int) -> DataFrame:
     return common.per_batch(docs.select("doc_id", "text"), make, WINDOWS)
 
 
-def repeats(docs: DataFrame, least_lines: int = 3, least_words: int = 40) -> DataFrame:
+def repeats(docs: DataFrame, least_lines: int = 3, least_words: int = 40, extend: bool = False) -> DataFrame:
     """doc_id (never twice), runs array<struct<first, last>>: the windows to delete from each document that has any."""
-    found = common.cut(windows(docs, least_lines, least_words))
+    found = common.cut(windows(docs, least_lines, least_words, extend))
     place = F.struct("doc_id", "place")
     shared = found.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter(~F.col("a").eqNullSafe(F.col("b"))).select("mark")
     near = common.salted_join(found, shared, ["mark"], "doc_id")
@@ -85,9 +95,9 @@ def kept(text: str | None, runs) -> tuple[str | None, int, int]:
     return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)
 
 
-def joined(docs: DataFrame, least_lines: int, least_words: int) -> DataFrame:
+def joined(docs: DataFrame, least_lines: int, least_words: int, extend: bool = False) -> DataFrame:
     """docs with column _runs. Few deletions are sent to where the texts are; else both sides are shuffled."""
-    runs = common.cut(repeats(docs, least_lines, least_words))
+    runs = common.cut(repeats(docs, least_lines, least_words, extend))
     size = runs.agg(F.count("*"), F.sum(F.size("runs"))).first()
     few = size[0] <= 200_000 and (size[1] or 0) <= 1_000_000
     runs = runs.select(F.col("doc_id").alias("_id"), F.col("runs").alias("_runs"))
@@ -95,7 +105,7 @@ def joined(docs: DataFrame, least_lines: int, least_words: int) -> DataFrame:
 
 
 def dedup(docs: DataFrame, least_lines: int = 3, least_words: int = 40) -> DataFrame:
-    """docs, all columns, texts without later repeated runs."""
+    """docs, all columns, texts without later repeated runs, each to its end."""
     common.prepare(docs.sparkSession)
 
     @F.pandas_udf("string")
@@ -103,7 +113,7 @@ def dedup(docs: DataFrame, least_lines: int = 3, least_words: int = 40) -> DataF
         return pd.Series([x if r is None else kept(x, r)[0] for x, r in zip(text, runs, strict=True)], dtype=object)
 
     text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(left_text("text", "_runs"))
-    return joined(docs, least_lines, least_words).withColumn("text", text).select(*docs.columns)
+    return joined(docs, least_lines, least_words, True).withColumn("text", text).select(*docs.columns)
 
 
 def report(docs: DataFrame, least_lines: int = 3, least_words: int = 40) -> DataFrame:

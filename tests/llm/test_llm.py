@@ -163,6 +163,33 @@ def test_lines(docs, rows):
     assert lines.dedup(docs).columns == docs.columns
 
 
+def test_line_dedup_deletes_a_repeated_run_to_its_end(spark):
+    draw = random.Random(5)
+    long, short, tail = (" ".join(draw.choice(WORDS) for _ in range(n)) for n in (50, 10, 4))
+    texts = [f"x\n{long}\nother", f"p q\n{long}\n{short}\n\n{tail}\nend a", f"r\n{long}\n{short}\n{tail}\nend b", f"{long}\n{short}", f"{short}\n{tail}", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(docs).collect()}
+    assert got == {0: texts[0], 1: f"p q\n{short}\n\n{tail}\nend a", 2: "r\nend b", 3: "", 4: texts[4], 5: None}
+    rng = random.Random(6)
+    pool = [" ".join(f"{c}{k}" for k in range(n)) for c, n in zip("abcdefg", (50, 41, 3, 12, 20, 1, 39), strict=True)]
+    many = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(9)))) for i in range(40)]
+    seen, want = {}, {}
+    for i, t in many:
+        for at, run in runs_of(t):
+            seen.setdefault(run, (i, at))
+    for i, t in many:
+        gone = {at + k for at, run in runs_of(t) if seen[run] != (i, at) for k in range(len(run))}
+        want[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+    assert {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(many, "doc_id long, text string")).collect()} == want
+
+
+def runs_of(text):
+    ls = text.split("\n") if text else []
+    for a, b in combinations(range(len(ls) + 1), 2):
+        if b - a >= 3 or sum(len(x.split()) for x in ls[a:b]) >= 40:
+            yield a, tuple(ls[a:b])
+
+
 def windows_of(text):
     ls = [(k, x.strip()) for k, x in enumerate((text or "").split("\n")) if x.strip()]
     for a in range(len(ls)):
