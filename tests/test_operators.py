@@ -67,3 +67,10 @@ def test_groups_hold_every_pair_and_only_similar_members(found):
     groups = similarity.grouped(rows)
     inside = {p for m, _, _ in groups for p in itertools.combinations(m, 2)}
     assert inside == set(found)
+
+
+def test_groups_of_a_long_chain(spark):
+    chain = [(k, k + 1, 0.9) for k in range(1, 68)] + [(68, 69, 1.0), (69, 70, 1.0), (68, 70, 1.0)]
+    got = {r["members"] for r in similarity.groups(spark.createDataFrame(chain, "first long, second long, score double")).collect()}
+    assert got == {",".join(map(str, m)) for m, _, _ in similarity.grouped(pd.DataFrame(chain, columns=["first", "second", "score"]))}
+    assert "68,69,70" in got
