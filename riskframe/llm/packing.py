@@ -1,7 +1,8 @@
 """Mixture-controlled packing by deficit round-robin over source queues (operator 7).
 
 Every source is a queue of token ids in the order of the input's partitions; its target share of each window is its
-share of all tokens (with more than `queues` sources, sources share queues by hash). Token x of queue s, of T tokens,
+share of all tokens. There is a queue for each source, however many there are; their totals, a number each, reach the
+driver and every worker. Token x of queue s, of T tokens,
 is due at (2x + 1) / 2T of the run. The rank of a token by that time, ties by queue, is a closed form of the totals, so
 any worker finds without others which superwindow (`windows` windows) a token belongs to, and each superwindow has
 exactly the same number of tokens, however large a source or a document is. Inside a superwindow each window is
@@ -17,6 +18,7 @@ rows: packed like any other row. Empty table: no rows. Other columns are ignored
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
 from math import floor
 from zlib import crc32
 
@@ -32,21 +34,28 @@ SEGMENTS = "super long, queue int, at long, doc_id long, doc_tokens long, start
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def rank(totals: list[int], s: int, x: int) -> int:
-    """How many tokens of all queues are due before token x of queue s. Whole numbers of any size, so exact."""
-    due, out = 2 * x + 1, x
-    for t, total in enumerate(totals):
+def rank(totals: list[int], s: int, x: int, flat: np.ndarray | None = None) -> int:
+    """How many tokens of all queues are due before token x of queue s. Whole numbers of any size, so exact. flat: the totals as an array, for many queues; only products beyond 62 bits are then worked out one by one."""
+    due, out, rest_of = 2 * x + 1, x, range(len(totals))
+    if flat is not None:
+        large = flat > (1 << 62) // due
+        whole, rest = np.divmod(np.where(large, 0, flat) * due - totals[s], 2 * totals[s])
+        ahead = whole + ((rest > 0) | (np.arange(len(flat)) < s))
+        ahead[s] = 0
+        out, rest_of = out + int(ahead[whole >= 0].sum()), np.flatnonzero(large).tolist()
+    for t in rest_of:
+        total = totals[t]
         if t != s and total:
             whole, rest = divmod(due * total - totals[s], 2 * totals[s])
             out += whole + (1 if t < s or rest else 0) if whole >= 0 else 0
     return out
 
 
-def first_at(totals: list[int], s: int, least: int, low: int, high: int) -> int:
+def first_at(totals: list[int], s: int, least: int, low: int, high: int, flat: np.ndarray | None = None) -> int:
     """The smallest x in [low, high] whose rank is at least `least` (high if none)."""
     while low < high:
         mid = (low + high) // 2
-        if rank(totals, s, mid) >= least:
+        if rank(totals, s, mid, flat) >= least:
             high = mid
         else:
             low = mid + 1
@@ -58,13 +67,19 @@ def deal(share: np.ndarray, deficit: np.ndarray, left: np.ndarray, room: int) ->
     deficit += room * share
     take = np.zeros(len(share), np.int64)
     for s in np.argsort(-deficit, kind="stable"):
+        if not room or deficit[s] < 1:
+            break
         take[s] = min(max(0, floor(deficit[s])), left[s], room)
         room -= take[s]
-    while room and (left > take).any():
-        s = int(np.argmax(np.where(left > take, deficit - take, -np.inf)))
+    ahead = [(take[s] - deficit[s], int(s)) for s in np.flatnonzero(left > take)] if room else []
+    heapify(ahead)
+    while room and ahead:
+        _, s = heappop(ahead)
         more = min(max(1, floor(deficit[s] - take[s])), left[s] - take[s], room)
         take[s] += more
         room -= more
+        if left[s] > take[s]:
+            heappush(ahead, (take[s] - deficit[s], s))
     deficit -= take
     left -= take
     return take
@@ -105,12 +120,13 @@ def fill(group: pd.DataFrame, totals: list[int], length: int, windows: int, kind
 
 
 def queue_of(docs: DataFrame, queues: int) -> tuple[DataFrame, list]:
-    """docs with queue, a small number; the list of queues. One row a source reaches the driver, at most `queues`."""
+    """docs with queue, the number of its source; the list of sources. One row a source reaches the driver. Up to `queues` names are in the plan, more in a joined table."""
     source = F.coalesce(F.col("source").cast("string"), F.lit("\x00null"))
-    names = [r[0] for r in docs.select(source.alias("s")).distinct().limit(queues + 1).collect()]
+    names = sorted(r[0] for r in docs.select(source.alias("s")).distinct().collect())
     if len(names) > queues:
-        return docs.withColumn("queue", F.pmod(F.xxhash64(source), F.lit(queues)).cast("int")), list(range(queues))
-    names.sort()
+        table, rows = docs.sparkSession.createDataFrame(list(enumerate(names)), "queue int, _source string"), docs.withColumn("_source", source)
+        found = rows.join(F.broadcast(table), "_source") if len(names) <= 200_000 else common.salted_join(rows, table, ["_source"], "doc_id")
+        return found.drop("_source"), names
     number = F.array_position(F.array(*[F.lit(n) for n in names]), source).cast("int") - 1 if names else F.lit(0)
     return docs.withColumn("queue", number), names
 
@@ -150,13 +166,14 @@ def pack(docs: DataFrame, path: str, length: int = 2048, windows: int = 256, que
 
     def cut_up():
         def work(batch: pa.RecordBatch) -> dict:
+            flat = np.array(totals, np.int64) if len(totals) > queues else None
             out: dict[str, list] = {c: [] for c in ("super", "queue", "at", "doc_id", "doc_tokens", "start", "ids")}
             for x in batch.to_pylist():
                 q, at, end = x["queue"], x["at"], x["at"] + x["doc_tokens"]
-                number, here = rank(totals, q, at) // span, at
-                last = rank(totals, q, end - 1) // span
+                number, here = rank(totals, q, at, flat) // span, at
+                last = rank(totals, q, end - 1, flat) // span
                 while here < end:
-                    stop = end if number >= last else first_at(totals, q, (number + 1) * span, here, end)
+                    stop = end if number >= last else first_at(totals, q, (number + 1) * span, here, end, flat)
                     if stop > here:
                         for c, v in (("super", number), ("queue", q), ("at", here), ("doc_id", x["doc_id"]), ("doc_tokens", x["doc_tokens"]), ("start", here - at), ("ids", x["ids"][(here - at) * size : (stop - at) * size])):
                             out[c].append(v)

@@ -132,6 +132,32 @@ def test_rank_is_a_permutation():
     assert sorted(packing.rank(totals, s, x) for s, n in enumerate(totals) for x in range(n)) == list(range(18))
 
 
+def test_rank_by_array():
+    draw = random.Random(7)
+    for large in (50, 1 << 34):
+        totals = [0, *(draw.randrange(1, large) for _ in range(90)), 1, large]
+        flat = np.array(totals, np.int64)
+        for s in range(1, len(totals), 7):
+            for x in (0, totals[s] // 2, totals[s] - 1):
+                assert packing.rank(totals, s, x, flat) == packing.rank(totals, s, x)
+
+
+def test_packing_keeps_the_share_of_many_sources(spark):
+    draw = random.Random(8)
+    many = [(i, " ".join(draw.choices(WORDS, k=draw.randrange(20, 60))), f"s{i % 101}" if i % 3 else "hot") for i in range(600)]
+    got = packing.pack(spark.createDataFrame(many, "doc_id long, text string, source string").repartition(3), tokens.vocabulary("byte_bpe_50k.json"), length=256, windows=8).collect()
+    source, counts, totals = {i: s for i, _, s in many}, {}, {}
+    for r in got:
+        s = source[r["doc_id"]]
+        counts[s, r["sequence_id"]] = counts.get((s, r["sequence_id"]), 0) + r["length"]
+        totals[s] = totals.get(s, 0) + r["length"]
+    every, last = sum(totals.values()), max(r["sequence_id"] for r in got)
+    assert len(totals) == 102 and last > 40
+    for s, total in totals.items():
+        for end in range(8, last + 1, 8):  # to the end of each superwindow a source has its share, but for half a token and its part of the others' halves
+            assert abs(sum(counts.get((s, w), 0) for w in range(end)) - 256 * end * total / every) < 0.51 + total / every * len(totals) / 2
+
+
 def test_decontaminate(spark, docs, rows):
     items = [(1, rows[40][1][:150]), (2, "one"), (3, None), (4, ""), (5, "not there at all")]
     bench = spark.createDataFrame(items, "item_id long, text string")
