@@ -1,8 +1,9 @@
 """Document fingerprints after I-Match, with randomised nested lexicons (operator 1, DataFrame functions only).
 
 Terms are the lower-cased runs of letters and digits. The lexicon holds the terms that at least `low` and at most `high`
-of the documents contain, a band of inverse document frequency. Terms are hashed to 2^BITS slots, so the counts and the
-lexicon, one bit a slot, have the same size for any corpus; terms that share a slot share its count.
+of the documents contain, a band of inverse document frequency. The documents of each 64-bit term hash are counted,
+so membership is exact but for equal hashes. A text has some hundred terms, so in a large corpus at most that number divided
+by `low` are in the band, whatever its size; the lexicon is sent as sorted hashes in buckets by their low bits.
 
 A document's in-band terms are made distinct, sorted, and hashed under `FAMILIES` random families of nested lexicon
 subsets: family f draws for each term a number, and its subset at level l keeps the terms with less than 2^(62 - l). The
@@ -16,13 +17,14 @@ own next one. Repeated rows: a row each. Long texts: whole. Empty table: no rows
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-BITS, FAMILIES = 20, 16
-_WORD = 63  # bits of a slot map's numbers that are used
+FAMILIES = 16
 
 
 def term_hashes(text: Column) -> Column:
@@ -30,20 +32,21 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""), lambda t: F.xxhash64(t)))
 
 
-def slot(h: Column) -> Column:
-    return h.bitwiseAND(F.lit((1 << BITS) - 1))
+def lexicon(docs: DataFrame, low: float, high: float) -> tuple[list[int], list[int]]:
+    """The hashes of the terms in the band, by bucket, and where each bucket starts (one more number than buckets, a power of two)."""
+    count = docs.count()
+    found = docs.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    band = [r[0] for r in found.filter((F.col("n") >= max(2.0, low * count)) & (F.col("n") <= max(2.0, high * count))).select("term").collect()]
+    mask = (1 << max(0, len(band).bit_length() - 2)) - 1
+    starts = [0] * (mask + 2)
+    for h in band:
+        starts[(h & mask) + 1] += 1
+    return sorted(band, key=lambda h: (h & mask, h)), list(accumulate(starts))
 
 
-def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
-    """One row: bits, an array of numbers of 63 bits each, the set slots being those in the band."""
-    count = docs.count()
-    slots = docs.select(F.explode(F.array_distinct(F.transform(term_hashes(F.col("text")), slot))).alias("slot"))
-    band = slots.groupBy("slot").agg(F.count("*").alias("n")).filter((F.col("n") >= max(2.0, low * count)) & (F.col("n") <= max(2.0, high * count)))
-    bit = F.expr(f"shiftleft(1L, cast(slot % {_WORD} as int))")
-    words = band.groupBy(F.expr(f"cast(slot div {_WORD} as int)").alias("at")).agg(F.bit_or(bit).alias("bits"))
-    every = docs.sparkSession.range(0, (1 << BITS) // _WORD + 1, 1, 1).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("long").alias("bits"))
-    dense = words.unionByName(every).groupBy("at").agg(F.max("bits").alias("bits"))  # of fixed size
-    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bits"))), lambda x: x["bits"]).alias("bits"))
+def constant(numbers: list[int]) -> Column:
+    """An array that is folded to one constant."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>") if numbers else F.array().cast("array<bigint>")
 
 
 def let(value: Column, body) -> Column:
@@ -51,12 +54,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fingerprint(text: Column, bits: Column) -> Column:
+def fingerprint(text: Column, hashes: Column, starts: Column, buckets: int) -> Column:
     """FAMILIES sub-fingerprints of 8 hexadecimal digits, in one string."""
 
     def has(h: Column) -> Column:
-        word = F.get(bits, F.floor(slot(h) / _WORD).cast("int"))
-        return F.call_function("shiftright", word, (slot(h) % _WORD).cast("int")).bitwiseAND(F.lit(1)) == 1
+        at = h.bitwiseAND(F.lit(buckets - 1)).cast("int")
+        start = F.get(starts, at).cast("int")
+        return F.array_contains(F.slice(hashes, start + 1, F.get(starts, at + 1).cast("int") - start), h)
 
     def chosen(known: Column) -> Column:
         either = lambda inside: F.when(F.size(inside) > 0, inside).otherwise(known)
@@ -110,15 +114,15 @@ def with_next(rows: DataFrame, cuts: list[int], columns: list[str]) -> DataFrame
 def fingerprints(docs: DataFrame, low: float = 0.0005, high: float = 0.2, rows_each: int = 2000) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select("doc_id", common.text_of().alias("text"))
-    found = lexicon(texts, low, high).first()[0]  # 2^BITS bits, whatever the corpus
-    bits = F.split(F.lit(",".join(map(str, found))), ",").cast("array<bigint>")  # folded to one constant
-    own = texts.withColumn("fingerprint", fingerprint(F.col("text"), bits))
+    hashes, starts = lexicon(texts, low, high)
+    known = (constant(hashes), constant(starts), len(starts) - 1)
+    own = texts.withColumn("fingerprint", fingerprint(F.col("text"), *known))
     pairs = with_next(own, bounds(docs.select("doc_id"), rows_each), ["text", "fingerprint"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     done = pairs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
-    done = done.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "next_fingerprint", fingerprint(F.col("edited"), bits).alias("edited_fingerprint"))
+    done = done.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "next_fingerprint", fingerprint(F.col("edited"), *known).alias("edited_fingerprint"))
     return done.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
 
 

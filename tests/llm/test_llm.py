@@ -238,6 +238,25 @@ def test_imatch(docs, rows):
             assert got[rows[a][0]]["fingerprint"] == got[rows[b][0]]["fingerprint"]
 
 
+def test_imatch_lexicon_is_exact(spark):
+    draw = random.Random(9)
+    texts = [" ".join({f"r{i * 4000 + k}" for k in range(4000)} | {f"c{draw.randrange(3000)}" for _ in range(600)}) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes, starts = imatch.lexicon(docs.select("text"), 0.05, 0.2)
+    count = {}
+    for t in texts:
+        for x in set(t.split()):
+            count[x] = count.get(x, 0) + 1
+    terms = spark.createDataFrame([(x, 2 <= n <= 8) for x, n in count.items()], "term string, inside boolean")
+    assert set(hashes) == {r[0] for r in terms.filter("inside").select(F.xxhash64("term")).collect()}
+    buckets = len(starts) - 1
+    assert all(h & (buckets - 1) == b for b in range(buckets) for h in hashes[starts[b] : starts[b + 1]])
+    known = (imatch.constant(hashes), imatch.constant(starts), buckets)
+    extra = spark.createDataFrame([(f"c{k} r{k}", f"c{k}") for k in range(40)], "a string, b string").join(terms.filter("inside").withColumnRenamed("term", "b"), "b")
+    got = extra.select((imatch.fingerprint(F.col("a"), *known) == imatch.fingerprint(F.col("b"), *known)).alias("same")).collect()
+    assert got and all(r["same"] for r in got)  # terms of one document are not in the lexicon
+
+
 def test_toxicity(spark, docs, rows):
     bad = [(1000 + k, f"you {'idiot' if k % 2 else 'fine'} {' '.join(random.Random(k).choices(WORDS, k=30))}") for k in range(200)]
     texts = spark.createDataFrame(bad, "doc_id long, text string")
