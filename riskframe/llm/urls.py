@@ -5,7 +5,8 @@ personalised PageRank from trusted seeds along the edges, and distrust from bloc
 by the number of their pages that a rule allows or blocks. A host whose distrust exceeds its trust by more than
 `margin` of the mean seed mass is blocked. A page with a rule takes the rule's verdict, any other its host's.
 
-Ranks are held as shared tables after each round; hub hosts are split by salt, parallel edges are counted before the
+Rounds go on until the mass still to come is at most `tolerance` over all hosts together, a hundredth of the margin, and
+raise if a limit is reached first. Ranks are held as shared tables after each round; hub hosts are split by salt, parallel edges are counted before the
 shuffle. Mass of hosts without out-links is not returned, and ranks are rounded, so the order of sums does not matter.
 
 Defined results. Null url or one without ://: host and path empty, no rule; the empty host has no edges and is allowed.
@@ -55,21 +56,27 @@ def edges(rows: DataFrame, hosts: DataFrame) -> DataFrame:
     return counted.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi")
 
 
-def propagate(graph: DataFrame, seeds: DataFrame, rounds: int, keep: float, salts: int = 8) -> DataFrame:
-    """kind, host, mass. graph: kind, src, dst, part (of src's mass); seeds: kind, host, seed."""
+def propagate(graph: DataFrame, seeds: DataFrame, tolerance: float, keep: float, salts: int = 8, limit: int = 1000) -> DataFrame:
+    """kind, host, mass. graph: kind, src, dst, part (of src's mass); seeds: kind, host, seed.
+
+    A round adds the mass that arrives after one more link. With `moving` the sum of what it added, at most
+    moving * keep / (1 - keep) is still to come to all hosts together; the rounds end when that is at most `tolerance`.
+    """
     graph = common.cut(graph.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int")))
-    seeds = common.cut(seeds)
-    mass = seeds.select("kind", "host", F.col("seed").alias("mass"))
-    for _ in range(rounds):
-        spread = mass.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)]))).withColumnRenamed("host", "src")
-        sent = graph.join(spread, ["kind", "src", "salt"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("part") * keep).alias("mass"))
-        again = seeds.select("kind", "host", (F.col("seed") * (1 - keep)).alias("mass"))
-        last, mass = mass, common.cut(sent.unionByName(again).groupBy("kind", "host").agg(F.round(F.sum("mass"), 9).alias("mass")))
+    own = F.round(F.col("seed") * (1 - keep), 9)
+    state = common.cut(seeds.select("kind", "host", own.alias("mass"), own.alias("moving")))
+    for _ in range(limit):
+        if (state.agg(F.sum("moving")).first()[0] or 0.0) * keep / (1 - keep) <= tolerance:
+            return state.select("kind", "host", "mass")
+        spread = state.filter("moving > 0").select("kind", F.col("host").alias("src"), "moving", F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt"))
+        sent = graph.join(spread, ["kind", "src", "salt"]).select("kind", F.col("dst").alias("host"), (F.col("moving") * F.col("part") * keep).alias("moving"))
+        both = state.select("kind", "host", "mass", F.lit(0.0).alias("moving")).unionByName(sent.select("kind", "host", F.col("moving").alias("mass"), "moving"))
+        last, state = state, common.cut(both.groupBy("kind", "host").agg(F.round(F.sum("mass"), 9).alias("mass"), F.round(F.sum("moving"), 9).alias("moving")))
         common.forget(last)
-    return mass
+    raise RuntimeError(f"ranks have not settled in {limit} rounds")
 
 
-def verdicts(pages: DataFrame, rules=RULES, rounds: int = 6, keep: float = 0.85, margin: float = 0.05) -> DataFrame:
+def verdicts(pages: DataFrame, rules=RULES, keep: float = 0.85, margin: float = 0.05, tolerance: float = 0.0005) -> DataFrame:
     rows = judged(pages, rules)
     hosts = common.cut(rows.groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad")).filter("host <> ''"))
     total = hosts.agg(F.sum("good"), F.sum("bad"), F.count("*")).first()
@@ -81,7 +88,7 @@ def verdicts(pages: DataFrame, rules=RULES, rounds: int = 6, keep: float = 0.85,
     back = links.groupBy("dst").agg(F.sum("n").alias("all"))
     along = common.salted_join(links, out, ["src"], "dst").select(F.lit("trust").alias("kind"), "src", "dst", (F.col("n") / F.col("all")).alias("part"))
     against = common.salted_join(links, back, ["dst"], "src").select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("part"))
-    mass = propagate(along.unionByName(against), seeds, rounds, keep)
+    mass = propagate(along.unionByName(against), seeds, tolerance, keep)
     score = mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("mass")).otherwise(0.0)).alias("distrust"))
     blocked = score.filter(F.col("distrust") - F.col("trust") > margin).select("host", F.lit(True).alias("blocked"))
     light = rows.drop("html")

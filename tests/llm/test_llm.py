@@ -285,6 +285,23 @@ def test_urls(spark):
     assert got[6] == ("bad.example.net", "/y", None, "block") and got[7] == ("org", "", None, "allow") and got[8][2:] == ("com/fr/", "allow")
 
 
+def test_urls_ranks_settle(spark):
+    far = [(k, f"http://h{k}.net/", f'<a href="http://h{k + 1}.net/">') for k in range(7)] + [(7, "http://h7.net/", None), (8, "http://h7.net/bad/", None)]
+    far += [(k, f"http://z{k}.info/", None) for k in range(9, 101)]
+    got = {r["page_id"]: r["verdict"] for r in urls.verdicts(spark.createDataFrame(far, "page_id long, url string, html string"), (("block", "h7.net/bad"),)).collect()}
+    assert {k for k, v in got.items() if v == "block"} == set(range(9))
+    links = {("a", "b"): 1.0, ("b", "a"): 0.5, ("b", "c"): 0.5, ("c", "c2"): 1.0, ("c2", "a"): 1.0}
+    graph = spark.createDataFrame([("trust", a, b, p) for (a, b), p in links.items()], "kind string, src string, dst string, part double")
+    mass = urls.propagate(graph, spark.createDataFrame([("trust", "a", 4.0)], "kind string, host string, seed double"), 0.05, 0.85)
+    names = ["a", "b", "c", "c2"]
+    step = np.array([[links.get((a, b), 0.0) for a in names] for b in names])
+    want = np.linalg.solve(np.eye(4) - 0.85 * step, 0.15 * np.array([4.0, 0, 0, 0]))
+    found = {r["host"]: r["mass"] for r in mass.collect()}
+    assert sum(abs(found[a] - x) for a, x in zip(names, want, strict=True)) <= 0.05
+    with pytest.raises(RuntimeError, match="settled"):
+        urls.propagate(graph, spark.createDataFrame([("trust", "a", 4.0)], "kind string, host string, seed double"), 0.05, 0.85, limit=2)
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
