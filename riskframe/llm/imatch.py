@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-FAMILIES = 16
+FAMILIES = 24
 
 
 def term_hashes(text: Column) -> Column:
