@@ -34,6 +34,8 @@ from .components import components
 
 #: Min-hash values of a document, and how many of them group documents.
 VALUES, BANDS = 16, 6
+#: Bits of a set's parity map.
+BITS = 1024
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Odd multipliers, one a min-hash value.
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ^ 0xD6E8FEB86659FD93 * i) & 0xFFFFFFFFFFFFFFFF | 1 for i in range(VALUES)], np.uint64)
@@ -42,7 +44,7 @@ _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ^ 0xD6E8FEB86659FD93 * i) & 0
 class Shingler:
     """Sorted distinct shingle hashes of texts; word hashes are kept."""
 
-    def __init__(self, k: int, keep: int = 1_000_000):
+    def __init__(self, k: int, keep: int = 250_000):
         self.k, self.keep, self.known = k, keep, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -118,25 +120,40 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """BITS bits a set: the parity of the number of its items at each bit. Two sets differ in at least as many items as their bits differ."""
+    out = np.zeros((len(sets), BITS // 64), np.uint64)
+    for i, s in enumerate(sets):
+        count = np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+        out[i] = np.packbits(count.astype(np.uint8)).view(np.uint64)
+    return out
+
+
 def open_groups(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links of a group's queries (role 1) to its members (role 0); at most one for each component (root) of members."""
     sets = [np.frombuffer(x, np.uint64) for x in group["items"]]
     nodes, roles, roots = (group[c].to_numpy() for c in ("node", "role", "root"))
-    members = [i for i in range(len(sets)) if roles[i] == 0]
-    union = np.unique(np.concatenate([sets[i] for i in members])) if len(members) > 1 else sets[members[0]] if members else np.zeros(0, np.uint64)
+    members, queries = np.flatnonzero(roles == 0), np.flatnonzero(roles == 1)
     out = []
-    for q in (i for i in range(len(sets)) if roles[i] == 1):
-        n = len(sets[q])
-        if 100 * overlap(sets[q], union) < percent * n:
-            continue
-        known = {roots[q]}
-        for m in members:
-            size = len(sets[m])
-            if roots[m] not in known and 100 * min(n, size) >= percent * max(n, size):
-                both = overlap(sets[q], sets[m])
-                if 100 * both >= percent * (n + size - both):
-                    out.append((nodes[q], nodes[m]))
-                    known.add(roots[m])
+    if len(members) and len(queries):
+        union = np.unique(np.concatenate([sets[i] for i in members])) if len(members) > 1 else sets[members[0]]
+        sizes, bits = np.array([len(s) for s in sets]), parities(sets)
+        for q in queries:
+            n = len(sets[q])
+            if 100 * overlap(sets[q], union) < percent * n:
+                continue
+            both = n + sizes[members]
+            # linked sets have at least percent / (100 + percent) of both sizes in common, so they differ in few items
+            most = both - 2 * (-(-both * percent // (100 + percent)))
+            near = members[(np.bitwise_count(bits[members] ^ bits[q]).sum(1, dtype=np.int64) <= most) & (roots[members] != roots[q])]
+            known = set()
+            for m in near:
+                size = len(sets[m])
+                if roots[m] not in known and 100 * min(n, size) >= percent * max(n, size):
+                    common_items = overlap(sets[q], sets[m])
+                    if 100 * common_items >= percent * (n + size - common_items):
+                        out.append((nodes[q], nodes[m]))
+                        known.add(roots[m])
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -238,15 +255,68 @@ def candidates(docs: DataFrame, reps: DataFrame, comps: DataFrame, k: int, perce
     # that no other component has are missing there, so that document must reach the threshold without them
     posts = common.cut(posts.withColumn("strong", (F.col("n") - F.col("p") + F.col("s")) * 100 >= F.col("n") * percent).drop("s"))
     rest = F.col("n") - F.col("p")
+    return asked_groups(posts, percent)
+
+
+def asked_groups(posts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members (grp, node, root) and queries (grp, node, root) of the pairs of groups that may hold a link.
+
+    The matrix first meets itself, group by group, so a token that many documents share costs its groups and not its
+    documents. Of two groups the smaller one's documents are the queries; each then meets the other's row of the matrix.
+    """
+    rest = F.col("n") - F.col("p")
     matrix = posts.groupBy("token", "grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(rest).alias("rest"), F.max("strong").alias("strong"))
-    q, g = posts.alias("q"), matrix.alias("g")
-    # a pair is met from the group that comes last; a group all of the query's component needs no test
-    fits = (F.col("q.grp") >= F.col("g.grp")) & ~((F.col("g.r0") == F.col("g.r1")) & (F.col("q.root") == F.col("g.r0")))
-    fits = fits & (F.col("q.strong") | F.col("g.strong")) & (F.col("q.n") * percent <= F.col("g.most") * 100) & (F.col("g.least") * percent <= F.col("q.n") * 100)
-    met = q.join(g, (F.col("q.token") == F.col("g.token")) & fits).groupBy("g.grp", "q.node", "q.root").agg(F.count("*").alias("c"), F.min("g.least").alias("least"), F.max(F.greatest(F.col("q.n") - F.col("q.p"), F.col("g.rest"))).alias("rest"), F.max("q.n").alias("n"))
-    asked = common.cut(met.filter((F.col("rest") + F.col("c")) * (100 + percent) >= (F.col("n") + F.col("least")) * percent).select("grp", "node", "root"))
-    members = rows.select("grp", "node", "root").join(asked.select("grp").distinct(), "grp", "left_semi").distinct()
-    return members, asked
+    matrix = common.cut(matrix)
+    a, b = matrix.alias("a"), matrix.alias("b")
+    one_root = (F.col("a.r0") == F.col("b.r1")) & (F.col("a.r1") == F.col("b.r0")) & (F.col("a.r0") == F.col("a.r1"))
+    fits = (F.col("a.grp") >= F.col("b.grp")) & ~one_root & (F.col("a.strong") | F.col("b.strong"))
+    fits = fits & (F.col("a.least") * percent <= F.col("b.most") * 100) & (F.col("b.least") * percent <= F.col("a.most") * 100)
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & fits).groupBy(F.col("a.grp").alias("g1"), F.col("b.grp").alias("g2"))
+    met = met.agg(F.count("*").alias("c"), F.min("a.least").alias("least1"), F.min("b.least").alias("least2"), F.max(F.greatest("a.rest", "b.rest")).alias("rest"))
+    pairs = met.filter((F.col("rest") + F.col("c")) * (100 + percent) >= (F.col("least1") + F.col("least2")) * percent).select("g1", "g2")
+    documents = common.cut(posts.groupBy("grp", "node", "root", "n", "p", "strong").agg(F.collect_set("token").alias("tokens")))
+    sizes = documents.groupBy("grp").agg(F.count("*").alias("size"))
+    for side in ("1", "2"):
+        pairs = pairs.join(sizes.select(F.col("grp").alias(f"g{side}"), F.col("size").alias(f"s{side}")), f"g{side}")
+    less = F.struct("s1", "g1") <= F.struct("s2", "g2")
+    pairs = common.cut(pairs.select(F.when(less, F.col("g1")).otherwise(F.col("g2")).alias("asks"), F.when(less, F.col("g2")).otherwise(F.col("g1")).alias("grp")))
+    line = matrix.groupBy("grp").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("rest").alias("rest"), F.collect_list("token").alias("tokens"), F.collect_list("strong").alias("strongs"))
+    lines = pairs.join(line, "grp").select("asks", "grp", "least", "most", "rest", "tokens", "strongs")
+    one = documents.join(pairs.select(F.col("asks").alias("grp")).distinct(), "grp", "left_semi").withColumnRenamed("grp", "asks")
+    # no nulls in numbers: pandas would make them floats
+    one = one.withColumns({"role": F.lit(0), "grp": F.lit(0).cast("long"), "least": F.lit(0).cast("long"), "most": F.lit(0).cast("long"), "rest": F.col("n") - F.col("p")})
+    lines = lines.withColumns({"role": F.lit(1), "node": F.lit(0).cast("long"), "root": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "p": F.lit(0), "strong": F.lit(False)})
+    rows = common.cut(one.withColumn("strongs", F.array().cast("array<boolean>")).unionByName(lines))
+    parts = max(2, int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // 20_000))
+    asked = rows.withColumn("bucket", F.pmod(F.xxhash64("asks"), F.lit(parts))).groupBy("bucket").applyInPandas(lambda g: reachable(g, percent), "grp long, node long, root long")
+    asked = common.cut(asked)
+    return documents.select("grp", "node", "root").distinct().join(asked.select("grp").distinct(), "grp", "left_semi"), asked
+
+
+def reachable(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """grp, node, root of the documents (role 0) whose prefix lets a member of a group (role 1) reach the threshold. Both have asks, the group of the document."""
+    is_doc = rows["role"].to_numpy() == 0
+    out = []
+    lines = dict(list(rows[~is_doc].groupby("asks")))
+    for asks, docs in rows[is_doc].groupby("asks"):
+        counts = docs["tokens"].map(len).to_numpy()
+        flat, of = np.concatenate(docs["tokens"].to_numpy()), np.repeat(np.arange(len(docs)), counts)
+        n, rest = docs["n"].to_numpy(np.int64), docs["rest"].to_numpy(np.int64)
+        firm, nodes, roots = docs["strong"].to_numpy(bool), docs["node"].to_numpy(np.int64), docs["root"].to_numpy(np.int64)
+        order = np.argsort(flat, kind="stable")
+        flat, of = flat[order], of[order]
+        for x in lines[asks].itertuples(index=False):
+            tokens, strongs = np.asarray(x.tokens), np.asarray(x.strongs, bool)
+            low, high = np.searchsorted(flat, tokens), np.searchsorted(flat, tokens, "right")
+            places = np.concatenate([np.arange(i, j) for i, j in zip(low.tolist(), high.tolist(), strict=True)])
+            strong = np.repeat(strongs, high - low)
+            owner = of[places]
+            c = np.bincount(owner[strong | firm[owner]], minlength=len(docs))
+            fits = (c > 0) & (n * percent <= int(x.most) * 100) & (int(x.least) * percent <= n * 100)
+            fits &= (np.maximum(rest, int(x.rest)) + c) * (100 + percent) >= (n + int(x.least)) * percent
+            out.append((np.full(int(fits.sum()), int(x.grp)), nodes[fits], roots[fits]))
+    grp, node, root = (np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+    return pd.DataFrame({"grp": grp, "node": node, "root": root})
 
 
 def classes(docs: DataFrame, k: int = 4, percent: int = 85, hot_rows: int = 32, slice_rows: int = 256) -> DataFrame:
