@@ -64,10 +64,40 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
             if batch.num_rows:
                 columns = work(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
+                del columns
+        del work, batches
+        release()
 
     return df.mapInArrow(run, struct)
 
 
+def release() -> None:
+    """At the end of a task: give the memory of its caches back to the system, as the worker process stays for other tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def kept_rows(df: DataFrame, column: str, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows of df, all columns, for which make()'s function of one column is true. Batches go through as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array([keep(x) for x in batch.column(column).to_pylist()], pa.bool_()))
+        del keep, batches
+        release()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than needed to tell."""
     return df.limit(rows + 1).count() <= rows

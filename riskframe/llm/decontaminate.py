@@ -110,19 +110,14 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_items:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_items: int = 20_000) -> DataFrame:
     """The rows of docs, all columns, in whose text no window of the benchmark occurs."""
-    from pyspark.sql import functions as F
-
     common.prepare(docs.sparkSession)
     tables = blocks(benchmark, window, block_items)
 
-    @F.pandas_udf("boolean")
-    def free(text):
-        import pandas as pd
-
+    def make():
         parts = [t.value for t in tables]
-        return pd.Series([not any(True for w in [words(x)] for p in parts for s in p for _ in s.find(w)) for x in text], dtype=bool)
+        return lambda text: not any(True for w in [words(text)] for p in parts for s in p for _ in s.find(w))
 
-    return docs.filter(free(common.text_of()))
+    return common.kept_rows(docs, "text", make)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

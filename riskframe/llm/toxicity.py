@@ -51,7 +51,7 @@ class Model:
         out: set[int] = set()
         for word in terms(text):
             if (known := self.seen.get(word)) is None:
-                if len(self.seen) > 500_000:
+                if len(self.seen) > 200_000:
                     self.seen.clear()
                 known = self.seen[word] = tuple(self.number[i] for i in term_ids(word) if i in self.number)
             out.update(known)
@@ -158,17 +158,12 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     common.prepare(docs.sparkSession)
     model = learn(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast((model.number, model.b, model.w, model.v))
-    uses: list[Model] = []
 
-    @F.pandas_udf("double")
-    def scored(text):
-        import pandas as pd
-
-        if not uses:
-            uses.append(Model(*sent.value))
-        return pd.Series([uses[0].score(x) for x in text], dtype=float)
+    def make():
+        use = Model(*sent.value)
+        return lambda text: use.score(text) < 0.5
 
-    return docs.filter(scored(common.text_of()) < 0.5)
+    return common.kept_rows(docs, "text", make)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
