@@ -131,8 +131,8 @@ def queue_of(docs: DataFrame, queues: int) -> tuple[DataFrame, list]:
     return docs.withColumn("queue", number), names
 
 
-def pack(docs: DataFrame, path: str, length: int = 2048, windows: int = 256, queues: int = 64) -> DataFrame:
-    """Pieces of all rows of docs(doc_id, text, source) in sequences of `length` tokens."""
+def pack(docs: DataFrame, path: str, length: int = 2048, windows: int = 256, queues: int = 64, keep: int = tokens.KEEP) -> DataFrame:
+    """Pieces of all rows of docs(doc_id, text, source) in sequences of `length` tokens. keep: chunks that a worker's encoder holds; changes memory and time only."""
     spark = docs.sparkSession
     common.prepare(spark)
     dealt, names = queue_of(docs, queues)
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, windows: int = 256, que
     def make():
         from pyspark import TaskContext
 
-        use, part, seen = tokens.encoder(path), TaskContext.get().partitionId(), {}
+        use, part, seen = tokens.encoder(path, keep), TaskContext.get().partitionId(), {}
         kind = "<u2" if use.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
         def work(batch: pa.RecordBatch) -> dict:

@@ -167,14 +167,17 @@ class Encoder:
         return np.insert(ids, ends, END_ID).astype(np.uint32), np.diff(ends, prepend=0) + 1
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+#: Chunks that an encoder keeps; with 800 000 it takes about 180 MB, with 200 000 about 70 MB and a third more time.
+KEEP = 800_000
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int = KEEP) -> Encoder:
     """One per worker process, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, keep) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, keep] = Encoder(path, keep)
+    return _ENCODERS[path, keep]
 
 
 def crc(ids: np.ndarray) -> int:
