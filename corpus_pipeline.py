@@ -32,7 +32,8 @@ def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokens.vocabulary("byte_bpe_50k.json"))
+    # a smaller cache than the query's: the stages before have left their share of memory in the executors
+    return packing.pack(docs, tokens.vocabulary("byte_bpe_50k.json"), keep=200_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("jaccard_join", drop_near_duplicates), ("decontamination", drop_leaked), ("packing", pack)]
