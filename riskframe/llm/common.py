@@ -120,23 +120,47 @@ def pyarrow_place(uri: str):
 
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = uri.replace("file:", "file://", 1)
+    for spark_name, name in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        uri = name + uri[len(spark_name) :] if uri.startswith(spark_name) else uri
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
 def write_beside(rows: DataFrame) -> str:
-    """Write rows that have a column part, the number of the partition of a table's scan they belong to, a folder for each part."""
+    """Write rows that have a column part, which the rows of a table have too, a folder for each part."""
     folder = shared_folder(rows.sparkSession)
     rows.repartition("part").write.partitionBy("part").parquet(folder)
     return folder
 
 
-def rows_beside(folder: str) -> pa.Table | None:
-    """In a task: what write_beside() has for this partition. Texts are thus joined with their rows where they are read, without a shuffle or a broadcast, as two scans of a table have the same partitions."""
+def rows_beside(folder: str, part: int) -> pa.Table | None:
+    """In a task: what write_beside() has for a part. Texts are thus joined with their rows where they are read, without a shuffle or a broadcast."""
     import pyarrow.parquet as pq
     from pyarrow import fs
-    from pyspark import TaskContext
 
     system, top = pyarrow_place(folder)
-    files = system.get_file_info(fs.FileSelector(f"{top}/part={TaskContext.get().partitionId()}", allow_not_found=True))
+    files = system.get_file_info(fs.FileSelector(f"{top}/part={part}", allow_not_found=True))
     tables = [pq.ParquetFile(system.open_input_file(f.path)).read() for f in files if f.path.endswith(".parquet")]
     return pa.concat_tables(tables) if tables else None
+
+
+class Beside:
+    """What load() gives for a part; the last one is held, as the rows of a part lie together."""
+
+    def __init__(self, load: Callable[[int], tuple]):
+        self.load, self.part, self.held = load, None, ()
+
+    def __call__(self, part: int) -> tuple:
+        if part != self.part:
+            self.held = ()
+            self.part, self.held = part, self.load(part)
+        return self.held
+
+
+def by_part(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The slices of a batch with one value of its column part."""
+    import numpy as np
+
+    parts = batch.column("part").to_numpy(zero_copy_only=False)
+    edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield int(parts[a]), batch.slice(a, b - a)

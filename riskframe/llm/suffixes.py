@@ -10,10 +10,9 @@ the place of the smallest hash among its grams of `gram` bytes, so equal strings
 2. Anchors meet by gram, sorted by context and doc_id, and are read as a stream. Of equal contexts all but the smallest
    document's are repeats. The smallest document's stay open where another context of the gram agrees on the gram before
    or the one after the anchor, one of which any common string has.
-3. The contexts of open anchors are sorted by bucket-pointer refinement: the first buckets are grams of 8 bytes within a
-   gram hash; each refinement sorts places by their bucket and that of the place the same length further on, which
-   doubles the length until it reaches `length`; the buckets found are used by the next refinement. Grams with more
-   than `hot` open anchors are settled by an aggregate over the strings themselves instead, which spreads.
+3. The strings of open anchors are sorted by bucket-pointer refinement (see bucket_order). Grams with more than `hot` open
+   anchors, of which a task could not hold all, are settled by an aggregate over the strings themselves instead, which
+   spreads and has the same result.
 4. The repeats' spans are gathered per document and taken out of the text.
 
 Defined results. Null text: empty. Texts under `length` bytes keep all. Null doc_id: smaller than any. Rows with one
@@ -89,29 +88,29 @@ def anchors(data: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
 def found_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def make():
         import xxhash
-        from pyspark import TaskContext
 
-        hashed, number = xxhash.xxh64_intdigest, TaskContext.get().partitionId()
+        hashed = xxhash.xxh64_intdigest
 
         def work(batch: pa.RecordBatch) -> dict:
-            parts, contexts, owners = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            parts, contexts, owners, numbers = [], [], [], []
+            for doc, text, number in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part")), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 g, at, n, sides = anchors(data, length, gram)
                 parts.append((g, at, n, sides))
                 contexts += [hashed(data[a:e]) for a, e in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)]
                 owners.append(np.full(len(g), _NULL if doc is None else doc, np.int64))
+                numbers.append(np.full(len(g), number, np.int32))
             g, at, n, sides = (np.concatenate(x) for x in zip(*parts, strict=True))
-            context, owner = np.array(contexts, np.uint64).view(np.int64), np.concatenate(owners)
+            context, owner, part = np.array(contexts, np.uint64).view(np.int64), np.concatenate(owners), np.concatenate(numbers)
             order = np.lexsort((owner, context, g))
-            g, at, n, sides, context, owner = (x[order] for x in (g, at, n, sides, context, owner))
+            g, at, n, sides, context, owner, part = (x[order] for x in (g, at, n, sides, context, owner, part))
             new = np.concatenate(([True], (g[1:] != g[:-1]) | (context[1:] != context[:-1]))) if len(g) else np.zeros(0, bool)
             first = owner[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))] if len(g) else owner
             settled = owner > first
             # settled anchors are dealt out evenly, not by gram
             g = np.where(settled, (owner * 1_000_003 + at) & ((1 << (64 - _PLACE)) - 1), g)
             code = g.astype(np.uint64) << np.uint64(_PLACE) | (sides << 8 | settled.astype(np.int64) << 7 | n).astype(np.uint64)
-            return {"code": code.view(np.int64), "context": context, "doc_id": owner, "at": at, "part": np.full(len(g), number, np.int32)}
+            return {"code": code.view(np.int64), "context": context, "doc_id": owner, "at": at, "part": part}
 
         return work
 
@@ -183,39 +182,87 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield judge(held, None, True)[0]
 
 
+#: Bytes of the first buckets, and into how many parts the buckets of a group are dealt, each refined to its end before the next.
+Q, PARTS = 8, 8
+
+
+def bucket_order(data: np.ndarray, left: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A number for each place, in the order of the bytes from there to the end of its context, up to `length` bytes at least.
+
+    Bucket-pointer refinement: a place's pointer is the rank of its bucket. The first buckets are Q-grams. A bucket whose
+    places share `depth` bytes is refined by the pointers of the places `depth` further on, which moves its depth by that
+    of the pointer's bucket; the new pointers hold at once, for its own parts, which are refined next, and for all buckets
+    that come later. Buckets with less than two of the starts, or known to `length` bytes, are left alone.
+    """
+    n = len(left)
+    words = np.lib.stride_tricks.sliding_window_view(data, Q)[:n].copy().view(">u8")[:, 0].astype(np.uint64)
+    short = np.flatnonzero(left < Q)
+    words[short] &= ~np.uint64(0) << (np.uint64(8) * (Q - left[short]).astype(np.uint64))
+    size = np.minimum(left, Q)
+    order = np.lexsort((size, words))
+    new = np.concatenate(([True], (words[order][1:] != words[order][:-1]) | (size[order][1:] != size[order][:-1]))) if n else np.zeros(0, bool)
+    pointer, depth = np.zeros(n, np.int64), size.astype(np.int16)
+    pointer[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    is_start = np.zeros(n, bool)
+    is_start[starts] = True
+
+    def live(places: np.ndarray) -> np.ndarray:
+        """Those of the places, whole buckets in order, whose bucket must be refined."""
+        p = pointer[places]
+        begin = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+        counts = np.add.reduceat(is_start[places].astype(np.int64), begin)
+        of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(p))))
+        return places[(counts[of] > 1) & (depth[places] < length) & (depth[places] < left[places])]
+
+    todo = live(order) if n else order
+    edges = np.flatnonzero(np.concatenate(([True], pointer[todo][1:] != pointer[todo][:-1]))) if len(todo) else np.zeros(0, np.int64)
+    cuts = np.unique(edges[np.searchsorted(edges, np.arange(1, PARTS) * len(todo) // PARTS).clip(max=len(edges) - 1)]) if len(edges) else edges
+    for part in np.split(todo, cuts):
+        while len(part):
+            d = depth[part].astype(np.int64)
+            ended = left[part] <= d
+            at = np.where(ended, part, part + d)
+            key, step = np.where(ended, -1, pointer[at]), np.where(ended, length, depth[at])
+            own = pointer[part]
+            by = np.lexsort((key, own))
+            part, own, key = part[by], own[by], key[by]
+            head = np.concatenate(([True], own[1:] != own[:-1]))
+            fresh = head | np.concatenate(([True], key[1:] != key[:-1]))
+            i = np.arange(len(part))
+            first, sub = np.maximum.accumulate(np.where(head, i, 0)), np.maximum.accumulate(np.where(fresh, i, 0))
+            pointer[part] = own + sub - first
+            depth[part] = np.minimum(d[by] + step[by], length)
+            part = live(part)
+    return pointer
+
+
 def refine(group: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Spans of the anchors' strings that a smaller document has too, among the anchors of the same gram."""
+    """Spans of the anchors' strings that a smaller document has too, among the anchors of the same group."""
     texts = group["bytes"].tolist()
     sizes = np.array([len(t) for t in texts])
-    data = np.frombuffer(b"".join(texts) + bytes(16), np.uint8)
+    data = np.frombuffer(b"".join(texts) + bytes(Q), np.uint8)
     row = np.repeat(np.arange(len(texts)), sizes)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     left = np.repeat(sizes, sizes) - inside  # bytes from a place to the end of its context
-
-    def buckets(key: np.ndarray, more: np.ndarray, places: np.ndarray) -> np.ndarray:
-        out = np.full(len(row), -1, np.int64)
-        order = np.lexsort((more, key))
-        new = np.concatenate(([False], (key[order][1:] != key[order][:-1]) | (more[order][1:] != more[order][:-1])))
-        out[places[order]] = np.cumsum(new)
-        return out
-
-    width = 8
-    places = np.flatnonzero(left >= width)
-    words = np.lib.stride_tricks.sliding_window_view(data, width)[places].copy().view("<u8")[:, 0]
-    bucket = buckets(words, group["gram"].to_numpy()[row[places]], places)
-    while width < length:
-        step = min(width, length - width)
-        places = np.flatnonzero(left >= width + step)
-        bucket = buckets(bucket[places], bucket[places + step], places)
-        width += step
-    places = np.flatnonzero(bucket >= 0)
-    owners, b = group["doc_id"].to_numpy()[row[places]], bucket[places]
-    least = np.full(b.max() + 1 if len(b) else 0, np.iinfo(np.int64).max)
+    starts = np.flatnonzero(left >= length)
+    pointer = bucket_order(data, left, starts, length)
+    starts = starts[np.argsort(pointer[starts], kind="stable")]
+    p = pointer[starts]
+    # a deeper pointer may part equal strings, which then are neighbours: they are compared
+    new = np.concatenate(([True], p[1:] != p[:-1])) if len(p) else np.zeros(0, bool)
+    heads = np.flatnonzero(new)[1:]
+    strings = np.lib.stride_tricks.sliding_window_view(data, length) if len(data) >= length else None
+    for at in range(0, len(heads), 100_000):
+        h = heads[at : at + 100_000]
+        new[h] = (strings[starts[h]] != strings[starts[h - 1]]).any(1)
+    owners, b = group["doc_id"].to_numpy()[row[starts]], np.cumsum(new) - 1
+    least = np.full(b[-1] + 1 if len(b) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, b, owners)
-    gone = places[owners > least[b]] if len(b) else places
+    gone = starts[owners > least[b]] if len(b) else starts
     start = group["at"].to_numpy()[row[gone]] + inside[gone]
     part = group["part"].to_numpy()[row[gone]]
-    return pd.concat([pd.DataFrame(columns=["doc_id", "begin", "stop", "part"]).astype({"doc_id": "int64", "begin": "int32", "stop": "int32", "part": "int32"})] + [runs(group["doc_id"].to_numpy()[row[gone]][part == p], start[part == p], start[part == p] + length).assign(part=np.int32(p)) for p in np.unique(part)])
+    none = pd.DataFrame(columns=["doc_id", "begin", "stop", "part"]).astype({"doc_id": "int64", "begin": "int32", "stop": "int32", "part": "int32"})
+    return pd.concat([none] + [runs(group["doc_id"].to_numpy()[row[gone]][part == k], start[part == k], start[part == k] + length).assign(part=np.int32(k)) for k in np.unique(part)])
 
 
 def runs(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pd.DataFrame:
@@ -240,29 +287,33 @@ def contexts(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
     folder = common.write_beside(opened.select("doc_id", "gram", "at", "n", "part"))
 
     def make():
-        from pyspark import TaskContext
-
-        beside, number = common.rows_beside(folder), TaskContext.get().partitionId()
-        columns = {c: beside.column(c).to_numpy() for c in ("doc_id", "gram", "at", "n")} if beside is not None else {c: np.zeros(0, np.int64) for c in ("doc_id", "gram", "at", "n")}
-        order = np.lexsort((columns["at"], columns["gram"], columns["doc_id"]))
-        # rows of one doc_id are one document: its anchors count once
-        ids, gram, at, n = (columns[c][order] for c in ("doc_id", "gram", "at", "n"))
-        same = (ids[1:] == ids[:-1]) & (gram[1:] == gram[:-1]) & (at[1:] == at[:-1]) if len(ids) else np.zeros(0, bool)
-        fresh = np.concatenate(([True], ~same)) if len(ids) else np.zeros(0, bool)
-        ids, gram, at, n = (x[fresh] for x in (ids, gram, at, n))
+        def load(part: int) -> tuple:
+            beside = common.rows_beside(folder, part)
+            columns = {c: beside.column(c).to_numpy() for c in ("doc_id", "gram", "at", "n")} if beside is not None else {c: np.zeros(0, np.int64) for c in ("doc_id", "gram", "at", "n")}
+            order = np.lexsort((columns["at"], columns["gram"], columns["doc_id"]))
+            # rows of one doc_id are one document: its anchors count once
+            ids, gram, at, n = (columns[c][order] for c in ("doc_id", "gram", "at", "n"))
+            same = (ids[1:] == ids[:-1]) & (gram[1:] == gram[:-1]) & (at[1:] == at[:-1]) if len(ids) else np.zeros(0, bool)
+            fresh = np.concatenate(([True], ~same)) if len(ids) else np.zeros(0, bool)
+            return tuple(x[fresh] for x in (ids, gram, at, n))
+
+        beside = common.Beside(load)
 
         def work(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {"gram": [], "doc_id": [], "at": [], "bytes": []}
-            owners = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            low, high = np.searchsorted(ids, owners), np.searchsorted(ids, owners, "right")
-            for i in np.flatnonzero(high > low):
-                data = batch.column("text")[int(i)].as_py().encode("utf-8", "surrogatepass")
-                span = slice(low[i], high[i])
-                out["gram"] += gram[span].tolist()
-                out["doc_id"] += [int(owners[i])] * int(high[i] - low[i])
-                out["at"] += at[span].tolist()
-                out["bytes"] += [data[a : a + k + length - 1] for a, k in zip(at[span].tolist(), n[span].tolist(), strict=True)]
-            return out | {"part": [number] * len(out["at"])}
+            out: dict[str, list] = {"gram": [], "doc_id": [], "at": [], "bytes": [], "part": []}
+            for part, rows in common.by_part(batch):
+                ids, gram, at, n = beside(part)
+                owners = rows.column("doc_id").to_numpy(zero_copy_only=False)
+                low, high = np.searchsorted(ids, owners), np.searchsorted(ids, owners, "right")
+                for i in np.flatnonzero(high > low):
+                    data = rows.column("text")[int(i)].as_py().encode("utf-8", "surrogatepass")
+                    span = slice(low[i], high[i])
+                    out["gram"] += gram[span].tolist()
+                    out["doc_id"] += [int(owners[i])] * int(high[i] - low[i])
+                    out["at"] += at[span].tolist()
+                    out["bytes"] += [data[a : a + k + length - 1] for a, k in zip(at[span].tolist(), n[span].tolist(), strict=True)]
+                    out["part"] += [part] * int(high[i] - low[i])
+            return out
 
         return work
 
@@ -270,7 +321,9 @@ def contexts(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
 
 
 def repeated(docs: DataFrame, length: int = 50, gram: int = 16, hot: int = 20_000, bucket_rows: int = 40_000) -> DataFrame:
-    """doc_id, begin, stop, part: byte spans of docs(doc_id, text) that go; they may overlap. part is the number of the partition of docs."""
+    """doc_id, begin, stop, part: byte spans of docs(doc_id, text, part) that go; they may overlap. part: any number that parts the rows of docs into pieces of a bounded size."""
+    if gram & (gram - 1) or not 3 * gram - 1 <= length <= 127 + gram:
+        raise ValueError("gram must be a power of two, length from 3 * gram - 1 to 127 + gram")
     tasks = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = found_anchors(docs, length, gram)
     streams = found.repartition(F.shiftright("code", _PLACE)).sortWithinPartitions("code", "context", "doc_id")
@@ -290,30 +343,36 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 16, hot: int = 20_00
 
 
 def report(docs: DataFrame, length: int = 50, gram: int = 16) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row. docs must be a table as read, so that each scan of it has the same partitions; write any other one first (common.cut)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row. The texts are written once, with the number of the partition they came from, so that later scans may split them in any way."""
     common.prepare(docs.sparkSession)
-    texts = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), common.text_of().alias("text"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), common.text_of().alias("text"), F.spark_partition_id().alias("part"))
+    texts = common.cut(texts, compression="zstd")
     folder = common.write_beside(repeated(texts, length, gram))
 
     def make():
-        beside = common.rows_beside(folder)
-        columns = [beside.column(c).to_numpy() for c in ("doc_id", "begin", "stop")] if beside is not None else [np.zeros(0, np.int64)] * 3
-        spans = runs(*columns)
-        ids, begin, stop = (spans[c].to_numpy() for c in ("doc_id", "begin", "stop"))
+        def load(part: int) -> tuple:
+            beside = common.rows_beside(folder, part)
+            columns = [beside.column(c).to_numpy() for c in ("doc_id", "begin", "stop")] if beside is not None else [np.zeros(0, np.int64)] * 3
+            spans = runs(*columns)
+            return tuple(spans[c].to_numpy() for c in ("doc_id", "begin", "stop"))
+
+        beside = common.Beside(load)
 
         def work(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-            owners = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            low, high = np.searchsorted(ids, owners), np.searchsorted(ids, owners, "right")
-            for doc, text, a, e in zip(owners.tolist(), batch.column("text").to_pylist(), low, high, strict=True):
-                data, keep, here, removed, n = text.encode("utf-8", "surrogatepass"), hashlib.sha256(), 0, 0, 0
-                for x, y in zip(begin[a:e].tolist(), stop[a:e].tolist(), strict=True):
-                    if x < (y := min(y, len(data))):
-                        keep.update(data[here:x])
-                        removed, here, n = removed + y - x, y, n + 1
-                keep.update(data[here:])
-                for c, v in (("doc_id", None if doc == _NULL else doc), ("n_bytes", len(data)), ("n_removed", removed), ("n_spans", n), ("kept_sha256", keep.hexdigest())):
-                    out[c].append(v)
+            for part, rows in common.by_part(batch):
+                ids, begin, stop = beside(part)
+                owners = rows.column("doc_id").to_numpy(zero_copy_only=False)
+                low, high = np.searchsorted(ids, owners), np.searchsorted(ids, owners, "right")
+                for doc, text, a, e in zip(owners.tolist(), rows.column("text").to_pylist(), low, high, strict=True):
+                    data, keep, here, removed, n = text.encode("utf-8", "surrogatepass"), hashlib.sha256(), 0, 0, 0
+                    for x, y in zip(begin[a:e].tolist(), stop[a:e].tolist(), strict=True):
+                        if x < (y := min(y, len(data))):
+                            keep.update(data[here:x])
+                            removed, here, n = removed + y - x, y, n + 1
+                    keep.update(data[here:])
+                    for c, v in (("doc_id", None if doc == _NULL else doc), ("n_bytes", len(data)), ("n_removed", removed), ("n_spans", n), ("kept_sha256", keep.hexdigest())):
+                        out[c].append(v)
             return out
 
         return work
