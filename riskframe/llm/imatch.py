@@ -1,15 +1,16 @@
-"""Document fingerprints after I-Match, with randomised nested lexicons (operator 1, DataFrame functions only).
+"""Document fingerprints by I-Match with randomised lexicon subsets (operator 1, DataFrame functions only).
 
 Terms are the lower-cased runs of letters and digits. The lexicon holds the terms that at least `low` and at most `high`
 of the documents contain, a band of inverse document frequency. The documents of each 64-bit term hash are counted,
 so membership is exact but for equal hashes. A text has some hundred terms, so in a large corpus at most that number divided
 by `low` are in the band, whatever its size; the lexicon is sent as sorted hashes in buckets by their low bits.
 
-A document's in-band terms are made distinct, sorted, and hashed under `FAMILIES` random families of nested lexicon
-subsets: family f draws for each term a number, and its subset at level l keeps the terms with less than 2^(62 - l). The
-sub-fingerprint of a family is the hash of the sorted terms of the document in the sparsest subset that has any. The
-likeness of two fingerprints is the share of families with equal sub-fingerprints: 1 for equal term sets, about the
-share of common terms else. Documents without in-band terms use all their terms, those without terms their text.
+A document's in-band terms are made distinct and sorted. Their hash is the classical signature. Besides it there is one for
+each of a fixed set of randomised lexicon subsets, the same for every document: seed f draws for each term a number, and
+the subset of rate 1/m has the terms whose number is a multiple of m. A signature is the hash of all of the document's
+terms in the subset, sorted; a document without any has none there. Dense subsets tell whether texts are almost equal,
+sparse ones still agree where many terms differ. The likeness of two fingerprints is the share of equal ones among the
+signatures that either has. Documents without in-band terms use all their terms, those without terms their text.
 
 Defined results. Null text: empty. Null doc_id: sorted first; equal doc_ids are ordered by text. A single document is its
 own next one. Repeated rows: a row each. Long texts: whole. Empty table: no rows. Other columns are ignored.
@@ -24,7 +25,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-FAMILIES = 24
+#: Seeds, the rates of each seed's subsets (one in so many terms; each divides the next), hexadecimal digits of a signature.
+SEEDS, RATES, DIGITS = 16, (16, 64, 128, 256), 6
+SIGNATURES = 1 + SEEDS * len(RATES)
+NONE = "-" * DIGITS
 
 
 def term_hashes(text: Column) -> Column:
@@ -55,7 +59,7 @@ def let(value: Column, body) -> Column:
 
 
 def fingerprint(text: Column, hashes: Column, starts: Column, buckets: int) -> Column:
-    """FAMILIES sub-fingerprints of 8 hexadecimal digits, in one string."""
+    """SIGNATURES signatures of DIGITS characters in one string: the classical one, then those of each seed by rate."""
 
     def has(h: Column) -> Column:
         at = h.bitwiseAND(F.lit(buckets - 1)).cast("int")
@@ -66,21 +70,26 @@ def fingerprint(text: Column, hashes: Column, starts: Column, buckets: int) -> C
         either = lambda inside: F.when(F.size(inside) > 0, inside).otherwise(known)
         return F.when(F.size(known) > 0, F.array_sort(let(F.filter(known, has), either))).otherwise(F.array(F.xxhash64(text, F.lit("text"))))
 
-    def sub(drawn: Column) -> Column:
-        # the sparsest subset that has a term: the numbers with as many binary digits as the smallest one
-        alike = lambda least: F.filter(drawn, lambda x: (x == least) | (x.bitwiseAND(least) > x.bitwiseXOR(least)))
-        return F.xxhash64(F.array_sort(let(F.array_min(drawn), alike)))
+    def signature(terms: Column) -> Column:
+        return F.when(F.size(terms) > 0, F.right(F.lpad(F.hex(F.xxhash64(terms)), F.lit(16), F.lit("0")), F.lit(DIGITS))).otherwise(F.lit(NONE))
 
-    def subs(terms: Column) -> Column:
-        draw = lambda f: F.transform(terms, lambda t: F.xxhash64(t, f).bitwiseAND(F.lit((1 << 62) - 1)))
-        return F.transform(F.sequence(F.lit(0), F.lit(FAMILIES - 1)), lambda f: F.right(F.lpad(F.hex(let(draw(f), sub)), F.lit(16), F.lit("0")), F.lit(8)))
+    def of_rates(terms: Column, seed: Column, rates: tuple) -> Column:
+        inside = F.filter(terms, lambda t: F.xxhash64(t, seed).bitwiseAND(F.lit(rates[0] - 1)) == 0)
+        # a sparser subset is part of the denser one
+        return let(inside, lambda x: F.concat(signature(x), of_rates(x, seed, rates[1:])) if rates[1:] else signature(x))
 
-    return F.array_join(let(let(term_hashes(text), chosen), subs), "")
+    def all_of(terms: Column) -> Column:
+        seeds = F.transform(F.sequence(F.lit(0), F.lit(SEEDS - 1)), lambda f: of_rates(terms, f, RATES))
+        return F.concat(signature(terms), F.array_join(seeds, ""))
+
+    return let(let(term_hashes(text), chosen), all_of)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    same = F.filter(F.sequence(F.lit(0), F.lit(FAMILIES - 1)), lambda i: F.substring(a, i * 8 + 1, F.lit(8)) == F.substring(b, i * 8 + 1, F.lit(8)))
-    return F.size(same) / F.lit(float(FAMILIES))
+    """Equal signatures among those that either fingerprint has."""
+    both = F.transform(F.sequence(F.lit(0), F.lit(SIGNATURES - 1)), lambda i: F.struct(F.substring(a, i * DIGITS + 1, F.lit(DIGITS)).alias("a"), F.substring(b, i * DIGITS + 1, F.lit(DIGITS)).alias("b")))
+    present = lambda pairs: F.filter(pairs, lambda x: (x["a"] != NONE) | (x["b"] != NONE))
+    return let(present(both), lambda p: F.size(F.filter(p, lambda x: x["a"] == x["b"])) / F.size(p).cast("double"))
 
 
 def bounds(docs: DataFrame, rows_each: int) -> list[int]:

@@ -232,12 +232,58 @@ def test_imatch(docs, rows):
         t, after = texts[k], texts[(k + 1) % len(texts)]
         half = len(t) // 2
         assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
-        assert got[i]["near_next"] == sum(a == b for a, b in zip(*(re.findall("." * 8, got[rows[j % len(rows)][0]]["fingerprint"]) for j in (k, k + 1)), strict=True)) / imatch.FAMILIES
+    lexicon = plain_lexicon(texts, 0.0005, 0.2)
+    prints = [plain_imatch(t, lexicon) for t in texts]
+    for k, (i, *_) in enumerate(rows):
+        t, after = texts[k], texts[(k + 1) % len(texts)]
+        half = len(t) // 2
+        edited = plain_imatch(t[: len(t) - half] + after[:half], lexicon)
+        assert got[i]["fingerprint"] == "".join(prints[k]) and got[i]["edited_fingerprint"] == "".join(edited)
+        assert got[i]["near_next"] == plain_likeness(prints[k], prints[(k + 1) % len(rows)])
+        assert got[i]["near_edited"] == plain_likeness(prints[k], edited)
     for a, b in combinations(range(len(rows)), 2):
         if texts[a] == texts[b]:
             assert got[rows[a][0]]["fingerprint"] == got[rows[b][0]]["fingerprint"]
 
 
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def chained(values, seed=42):
+    """Spark's xxhash64 of several values: each is hashed with the hash before it as the seed."""
+    import xxhash
+
+    for v in values:
+        data = v.encode() if isinstance(v, str) else v.to_bytes(4 if abs(v) < 1000 else 8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return signed(seed)
+
+
+def plain_terms(text):
+    return {x for x in re.split(r"[\W_]+", text.lower()) if x}
+
+
+def plain_lexicon(texts, low, high):
+    count = {}
+    for t in texts:
+        for x in plain_terms(t):
+            count[x] = count.get(x, 0) + 1
+    return {x for x, n in count.items() if max(2, low * len(texts)) <= n <= max(2, high * len(texts))}
+
+
+def plain_imatch(text, lexicon):
+    known = plain_terms(text)
+    inside = sorted(chained([x]) for x in (known & lexicon or known)) or [chained([text, "text"])]
+    sign = lambda terms: f"{chained(terms) % (1 << 64):016X}"[-imatch.DIGITS :] if terms else imatch.NONE
+    return [sign(inside)] + [sign([t for t in inside if chained([t, f]) % m == 0]) for f in range(imatch.SEEDS) for m in imatch.RATES]
+
+
+def plain_likeness(a, b):
+    either = [(x, y) for x, y in zip(a, b, strict=True) if {x, y} != {imatch.NONE}]
+    return sum(x == y for x, y in either) / len(either)
+
+
 def test_imatch_lexicon_is_exact(spark):
     draw = random.Random(9)
     texts = [" ".join({f"r{i * 4000 + k}" for k in range(4000)} | {f"c{draw.randrange(3000)}" for _ in range(600)}) for i in range(40)]
