@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Texts handed to Python at once; bounds a worker's memory together with the length of the texts.
 BATCH_ROWS = 1000
+#: The folder of a local session without spark.checkpoint.dir.
+_LOCAL: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,11 +27,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where that is unset (tests, local mode)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder in the one that the driver and all executors share: spark.checkpoint.dir. Where that is unset, local mode takes a temporary one; a cluster has none, so it is an error there."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get("base")
     if not base:
-        base = tempfile.mkdtemp(prefix="riskframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _LOCAL["base"] = f"file://{tempfile.mkdtemp(prefix='riskframe-')}"
     return f"{base.rstrip('/')}/riskframe-{uuid.uuid4().hex}"
 
 
@@ -103,6 +106,14 @@ def small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken or f"{name}_id" in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text"):
     """The text, empty for null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

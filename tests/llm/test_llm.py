@@ -179,14 +179,18 @@ def test_decontaminate(spark, docs, rows):
 
 def test_lines(docs, rows):
     seen, want = {}, {}
+    split = {i: [(k, x.strip()) for k, x in enumerate((t or "").split("\n")) if x.strip()] for i, t, *_ in rows}
+    runs = {i: list(runs_of("\n".join(x for _, x in ls))) for i, ls in split.items()}
+    for i in split:
+        for at, run in runs[i]:
+            seen.setdefault(run, (i, at))
     for i, t, *_ in rows:
-        for at, w in enumerate(windows_of(t)):
-            seen.setdefault(w[2], (i, w[0]))
-    for i, t, *_ in rows:
-        gone = {k for w in windows_of(t) if seen[w[2]] != (i, w[0]) for k in range(w[0], w[1] + 1)}
+        gone = {at + k for at, run in runs[i] if seen[run] != (i, at) for k in range(len(run))}
         want[i] = (len((t or "").split("\n")), len(gone))
     assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines.report(docs).collect()} == want
-    assert lines.dedup(docs).columns == docs.columns
+    clash = docs.withColumns({"_id": F.lit(1), "runs": F.lit(2), "runs_id": F.lit(3), "_runs": F.lit(4), "shared_places": F.lit(5)})
+    left = lines.dedup(clash)
+    assert left.columns == clash.columns and left.agg(F.sum("runs")).first()[0] == 2 * len(rows)
 
 
 def test_line_dedup_deletes_a_repeated_run_to_its_end(spark):
@@ -216,15 +220,6 @@ def runs_of(text):
             yield a, tuple(ls[a:b])
 
 
-def windows_of(text):
-    ls = [(k, x.strip()) for k, x in enumerate((text or "").split("\n")) if x.strip()]
-    for a in range(len(ls)):
-        for b in range(a, len(ls)):
-            if b - a == 2 or sum(len(x.split()) for _, x in ls[a : b + 1]) >= 40:
-                yield ls[a][0], ls[b][0], "\n".join(x for _, x in ls[a : b + 1])
-                break
-
-
 def test_imatch(docs, rows):
     got = {r["doc_id"]: r for r in imatch.fingerprints(docs, rows_each=7).collect()}
     texts = [t or "" for _, t, *_ in rows]
