@@ -87,14 +87,14 @@ def release() -> None:
         pass
 
 
-def kept_rows(df: DataFrame, column: str, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
-    """The rows of df, all columns, for which make()'s function of one column is true. Batches go through as they are."""
+def kept_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of df, all columns, that make()'s function of the values of one column keeps. Batches go through as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array([keep(x) for x in batch.column(column).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array(keep(batch.column(column).to_pylist()), pa.bool_()))
         del keep, batches
         release()
 

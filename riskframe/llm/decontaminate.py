@@ -6,10 +6,12 @@ pattern allow a jump, and a shift of 0 leads to the bucket of patterns that end
 word by word after a test of their first block.
 
 A benchmark is a stated query set; it is taken in blocks of `block_items` items, each sent to the workers as one
-broadcast of bounded size, and documents are read once. Nothing of the documents is shuffled.
+broadcast of bounded size, and documents are read once. Where there are several blocks, a worker holds one at a time, for a
+batch of documents each. Nothing of the documents is shuffled.
 
 Defined results. Null or empty text: no words, not contaminated. Items without words occur nowhere. Repeated
-documents or items: each row is judged by itself; an item_id counts once. Empty benchmark: nothing is hit. Long texts:
+documents or items: each row is judged by itself; an item_id counts once. Null item_id: its windows hit, but it is not
+counted among the items. Empty benchmark: nothing is hit. Long texts:
 whole. Other columns stay as they are in `clean`, and are ignored in `report`.
 """
 
@@ -69,7 +71,7 @@ def searchers(items: list[tuple], window: int) -> list[Searcher]:
         w = words(text)
         for at in range(max(1, len(w) - window + 1)):
             if p := tuple(w[at : at + window]):
-                by_length[len(p)][p].append(str(item))
+                by_length[len(p)][p] += [] if item is None else [str(item)]
     return [Searcher(dict(p)) for p in by_length.values()]
 
 
@@ -81,27 +83,32 @@ def blocks(benchmark: DataFrame, window: int, block_items: int) -> list:
     return out
 
 
+def held(tables: list):
+    """In a task: the tables one after the other; with more than one, each is let go before the next is loaded."""
+    for t in tables:
+        yield t.value
+        if len(tables) > 1:
+            t.__dict__.pop("_value", None)
+
+
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_items: int = 20_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs."""
     common.prepare(docs.sparkSession)
     tables = blocks(benchmark, window, block_items)
 
-    def judge(text: str | None, parts: list) -> tuple:
-        w = words(text)
-        hit, items = bytearray(len(w)), set()
-        for table in parts:
-            for s in table:
-                for at, p in s.find(w):
-                    hit[at : at + s.m] = b"\x01" * s.m
-                    items.update(s.patterns[p])
-        return len(w), sum(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            parts = [t.value for t in tables]
-            found = [judge(x, parts) for x in batch.column("text").to_pylist()]
-            n_words, n_hit, n_items, sha = zip(*found, strict=True)
-            return {"doc_id": batch.column("doc_id"), "n_words": n_words, "n_hit": n_hit, "n_items": n_items, "items_sha256": sha, "contaminated": [x > 0 for x in n_hit]}
+            texts = [words(x) for x in batch.column("text").to_pylist()]
+            hits, items = [bytearray(len(w)) for w in texts], [set() for _ in texts]
+            for table in held(tables):
+                for s in table:
+                    for w, hit, found in zip(texts, hits, items, strict=True):
+                        for at, p in s.find(w):
+                            hit[at : at + s.m] = b"\x01" * s.m
+                            found.update(s.patterns[p])
+            n_hit = [sum(x) for x in hits]
+            sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+            return {"doc_id": batch.column("doc_id"), "n_words": [len(w) for w in texts], "n_hit": n_hit, "n_items": [len(x) for x in items], "items_sha256": sha, "contaminated": [x > 0 for x in n_hit]}
 
         return work
 
@@ -113,11 +120,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_items:
     common.prepare(docs.sparkSession)
     tables = blocks(benchmark, window, block_items)
 
-    def make():
-        parts = [t.value for t in tables]
-        return lambda text: not any(True for w in [words(text)] for p in parts for s in p for _ in s.find(w))
+    def free(texts: list) -> list[bool]:
+        split = [words(x) for x in texts]
+        out = [True] * len(split)
+        for table in held(tables):
+            for i, w in enumerate(split):
+                out[i] = out[i] and not any(True for s in table for _ in s.find(w))
+        return out
 
-    return common.kept_rows(docs, "text", make)
+    return common.kept_rows(docs, "text", lambda: free)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
