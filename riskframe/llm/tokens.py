@@ -73,8 +73,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.keep = keep
+        # added tokens may span the places where texts are split: a text that could hold one goes to the library whole
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.whole = re.compile("|".join(sorted(added, key=len, reverse=True)), re.IGNORECASE).search if added else lambda text: None
         # words joined into one text are told apart by the tokens that end a word, or begin with the blank before it
         suffix = self.tokenizer.model.end_of_word_suffix
         self.at_end = bool(suffix)
@@ -147,7 +149,18 @@ class Encoder:
         return flat[np.repeat(starts[codes] - before[:-1], n) + np.arange(before[-1])], before
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, END_ID after each text, and the number of ids of each text."""
+        """All ids in a row, END_ID after each text, and the number of ids of each text: those of the library, added tokens included."""
+        if apart := [i for i, x in enumerate(texts) if self.whole(x)]:
+            kept = set(apart)
+            flat, n = self.encode_plain(["" if i in kept else x for i, x in enumerate(texts)])
+            parts = np.split(flat, np.cumsum(n)[:-1])
+            for i, found in zip(apart, self.tokenizer.encode_batch_fast([texts[i] for i in apart], add_special_tokens=False), strict=True):
+                parts[i] = np.array([*found.ids, END_ID], np.uint32)
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return self.encode_plain(texts)
+
+    def encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """encode() for texts without added tokens."""
         if len(self.known) > self.keep:
             self.shrink()
         count, found = chunks(texts)
@@ -210,7 +223,7 @@ def write(docs: DataFrame, path: str, folder: str, partitions: int, row_group_mb
     rows = encoded(ordered, path).withColumn("part", F.spark_partition_id())
     options = {
         "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.block.size": str(row_group_mb << 20), "parquet.page.size": str(page_kb << 10),
-        "parquet.column.index.access.enabled": "true", "parquet.page.row.count.limit": "2000", "compression": "zstd",
+        "parquet.page.row.count.limit": "2000", "compression": "zstd",
     }
     rows.write.options(**options).mode("overwrite").parquet(folder)
 
