@@ -7,7 +7,8 @@ by the number of their pages that a rule allows or blocks. A host whose distrust
 
 Rounds go on until the mass still to come is at most `tolerance` over all hosts together, a hundredth of the margin, and
 raise if a limit is reached first. Ranks are held as shared tables after each round; hub hosts are split by salt, parallel edges are counted before the
-shuffle. Mass of hosts without out-links is not returned, and ranks are rounded, so the order of sums does not matter.
+shuffle. Mass of hosts without out-links returns to the seeds, and ranks are rounded, so the order of sums does not matter.
+Hosts that are linked to but not crawled take part.
 
 Defined results. Null url or one without ://: host and path empty, no rule; the empty host has no edges and is allowed.
 Null html: no links. No pages: no rows. No seeds or no edges: hosts without distrust are allowed. Repeated rows: judged
@@ -38,36 +39,53 @@ def judged(pages: DataFrame, rules) -> DataFrame:
     """page_id, host, path, rule, ruled (the rule's verdict or null)."""
     host, path = host_path(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
-    rule, ruled = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for verdict, text in sorted(rules, key=lambda r: len(r[1])) if rules else ():
+    fitting = []
+    for place, (verdict, text) in enumerate(rules):
         own, _, start = text.partition("/")
         fits = ((F.col("host") == own) | F.col("host").endswith(f".{own}")) & F.col("path").startswith(f"/{start}")
-        same = F.length(rule) == len(text)
-        rule, ruled = F.when(fits & ~F.coalesce(same, F.lit(False)), F.lit(text)).otherwise(rule), F.when(fits & ~F.coalesce(same, F.lit(False)), F.lit(verdict)).otherwise(ruled)
-    return rows.withColumns({"rule": rule, "ruled": ruled})
+        fitting.append(F.when(fits, F.struct(F.lit(len(text)).alias("size"), F.lit(-place).alias("place"), F.lit(text).alias("rule"), F.lit(verdict).alias("ruled"))))
+    best = F.array_max(F.array(*fitting)) if fitting else F.lit(None).cast("struct<rule:string,ruled:string>")
+    return rows.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "ruled": F.col("_best.ruled")}).drop("_best")
 
 
 def edges(rows: DataFrame, hosts: DataFrame) -> DataFrame:
-    """src, dst, n: links between different crawled hosts."""
+    """src, dst, n: links to other hosts, and mentions of other crawled hosts."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    links = F.regexp_extract_all(html, F.lit(r"""(?i)(?:href\s*=\s*["']?(?:https?:)?//|[\s>])((?:[a-z0-9-]+\.)+[a-z]{2,})(?=[/?#"'\s<:]|$)"""), F.lit(1))
-    out = rows.filter("host <> ''").select(F.col("host").alias("src"), F.explode(links).alias("dst")).select("src", F.translate("dst", _UPPER, _LOWER).alias("dst"))
-    counted = out.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
-    return counted.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi")
+    name = r"((?:[a-z0-9-]+\.)+[a-z]{2,})"
+    links = F.regexp_extract_all(html, F.lit(rf"""(?i)href\s*=\s*["']?(?:https?:)?//{name}(?=[/?#:"'\s<>]|$)"""), F.lit(1))
+    mentions = F.regexp_extract_all(html, F.lit(rf"""(?i)[\s>]{name}(?=[/?#"'\s<:]|$)"""), F.lit(1))
+    found = rows.filter("host <> ''").select(F.col("host").alias("src"), F.explode(F.concat(F.transform(links, lambda x: F.struct(x.alias("dst"), F.lit(True).alias("link"))), F.transform(mentions, lambda x: F.struct(x.alias("dst"), F.lit(False).alias("link"))))).alias("e"))
+    found = found.select("src", F.translate("e.dst", _UPPER, _LOWER).alias("dst"), "e.link").filter("src <> dst")
+    counted = found.groupBy("src", "dst", "link").agg(F.count("*").alias("n"))
+    crawled = hosts.select(F.col("host").alias("dst"), F.lit(True).alias("crawled"))
+    return counted.join(crawled, "dst", "left").filter("link OR crawled").groupBy("src", "dst").agg(F.sum("n").alias("n"))
+
+
+#: Stands between the hosts without a way on and the seeds, to which their mass returns.
+_BACK = "\x00"
+
+
+def closed(graph: DataFrame, seeds: DataFrame, keep: float) -> DataFrame:
+    """graph with edges by which the mass of hosts without out-edges returns to the seeds, in proportion to their own. The step over _BACK costs nothing: its parts make up for the damping."""
+    nodes = graph.select("kind", F.col("dst").alias("host")).unionByName(seeds.select("kind", "host")).distinct()
+    ends = nodes.join(graph.select("kind", F.col("src").alias("host")).distinct(), ["kind", "host"], "left_anti")
+    total = seeds.groupBy("kind").agg(F.sum("seed").alias("total"))  # two rows
+    back = seeds.join(F.broadcast(total), "kind").select("kind", F.lit(_BACK).alias("src"), F.col("host").alias("dst"), (F.col("seed") / F.col("total") / keep).alias("part"))
+    return graph.unionByName(ends.select("kind", F.col("host").alias("src"), F.lit(_BACK).alias("dst"), F.lit(1.0).alias("part"))).unionByName(back)
 
 
 def propagate(graph: DataFrame, seeds: DataFrame, tolerance: float, keep: float, salts: int = 8, limit: int = 1000) -> DataFrame:
     """kind, host, mass. graph: kind, src, dst, part (of src's mass); seeds: kind, host, seed.
 
     A round adds the mass that arrives after one more link. With `moving` the sum of what it added, at most
-    moving * keep / (1 - keep) is still to come to all hosts together; the rounds end when that is at most `tolerance`.
+    moving / (1 - keep) is still to come to all hosts together; the rounds end when that is at most `tolerance`.
     """
-    graph = common.cut(graph.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int")))
+    graph = common.cut(closed(graph, seeds, keep).withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int")))
     own = F.round(F.col("seed") * (1 - keep), 9)
     state = common.cut(seeds.select("kind", "host", own.alias("mass"), own.alias("moving")))
     for _ in range(limit):
-        if (state.agg(F.sum("moving")).first()[0] or 0.0) * keep / (1 - keep) <= tolerance:
-            return state.select("kind", "host", "mass")
+        if (state.agg(F.sum("moving")).first()[0] or 0.0) / (1 - keep) <= tolerance:
+            return state.filter(F.col("host") != _BACK).select("kind", "host", "mass")
         spread = state.filter("moving > 0").select("kind", F.col("host").alias("src"), "moving", F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt"))
         sent = graph.join(spread, ["kind", "src", "salt"]).select("kind", F.col("dst").alias("host"), (F.col("moving") * F.col("part") * keep).alias("moving"))
         both = state.select("kind", "host", "mass", F.lit(0.0).alias("moving")).unionByName(sent.select("kind", "host", F.col("moving").alias("mass"), "moving"))
