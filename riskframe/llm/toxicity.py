@@ -6,8 +6,9 @@ held-out fold (crc32 of the id as text, modulo 5, is 0) are learnt from. The mod
 bounded size, `per_class` rows of either label taken by hash of the id; the intercept is then moved to the label shares
 of all learnable rows. Everything else covers all rows: each whole text is scored in one pass without a shuffle.
 
-Terms kept in the model: in at least 3 sample texts, and either tied to the label (chi-square over 10) or among the
-`common` most frequent ones, which can still matter in pairs.
+Terms kept in the model: in at least 3 sample texts, and either tied to the label (chi-square over 10), or among the
+`common_terms` most frequent ones, or part of a pair that is tied to the label (chi-square over 30, and more than either
+term is); pairs are counted among the `paired_terms` most frequent terms, so a term that is neutral alone is not lost.
 
 Defined results. Null or empty text: no terms, the intercept's score. Null labels are not learnt from; a document with
 several labels is toxic if any is. No labels, or one kind only: the score is the share of toxic ones (0 without any).
@@ -65,7 +66,25 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, factors: int = 8, epochs: int = 12, common_terms: int = 300, seed: int = 1) -> Model:
+def pair_terms(texts: list[np.ndarray], y: np.ndarray, often: np.ndarray, chi: np.ndarray, limit: float = 30.0) -> np.ndarray:
+    """Those of the frequent terms that are in a pair which says more about the label than either of its terms."""
+    often = np.sort(often)
+    found = np.zeros((len(texts), len(often)), np.float32)
+    for i, t in enumerate(texts):
+        at = np.searchsorted(often, t)
+        at[at == len(often)] = 0
+        found[i, at[often[at] == t]] = 1
+    n, n1 = len(y), float(y.sum())
+    both, toxic = (found.T @ found).astype(float), (found[y > 0].T @ found[y > 0]).astype(float)
+    expected = both * (n1 / n)
+    tied = (toxic - expected) ** 2 / np.maximum(expected * (1 - n1 / n) * np.maximum(1 - both / n, 1e-9), 1e-9)
+    alone = chi[often]
+    strong = (both >= 10) & (tied > limit) & (tied > 1.5 * np.maximum(alone[:, None], alone[None, :]))
+    np.fill_diagonal(strong, False)
+    return often[strong.any(1)]
+
+
+def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, factors: int = 8, epochs: int = 12, common_terms: int = 300, paired_terms: int = 1200, seed: int = 1) -> Model:
     """Adagrad on the logistic loss. texts: the distinct hashed terms of each sample text; share: of toxic ones among all learnable rows."""
     n, n1 = len(labels), int(labels.sum())
     if not n or n1 in (0, n):
@@ -78,7 +97,9 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, factors: int
     chi = (k1 - expected) ** 2 / np.maximum(expected * (1 - n1 / n) * np.maximum(1 - a / n, 1e-9), 1e-9)
     often = np.zeros(1 << BITS, bool)
     often[np.argsort(-a, kind="stable")[:common_terms]] = True
-    kept = np.flatnonzero((a >= 3) & ((chi > 10) | often))
+    paired = np.zeros(1 << BITS, bool)
+    paired[pair_terms(texts, y, np.argsort(-a, kind="stable")[:paired_terms], chi)] = True
+    kept = np.flatnonzero((a >= 3) & ((chi > 10) | often | paired))
     number = np.full(1 << BITS, -1)
     number[kept] = np.arange(len(kept))
     rows = [(r := number[t])[r >= 0] for t in texts]
@@ -161,7 +182,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def make():
         use = Model(*sent.value)
-        return lambda text: use.score(text) < 0.5
+        return lambda texts: [use.score(x) < 0.5 for x in texts]
 
     return common.kept_rows(docs, "text", make)
 

@@ -101,7 +101,6 @@ def test_tokens(docs, rows):
 
     path = tokens.vocabulary("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     start, want = 0, []
     for i, t, *_ in rows:
         ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -159,7 +158,7 @@ def test_packing_keeps_the_share_of_many_sources(spark):
 
 
 def test_decontaminate(spark, docs, rows):
-    items = [(1, rows[40][1][:150]), (2, "one"), (3, None), (4, ""), (5, "not there at all")]
+    items = [(1, rows[40][1][:150]), (2, "one"), (3, None), (4, ""), (5, "not there at all"), (11, "one"), (None, rows[45][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     got = {r["doc_id"]: r for r in decontaminate.report(docs, bench, block_items=2).collect()}
@@ -172,7 +171,8 @@ def test_decontaminate(spark, docs, rows):
                 for at in range(len(w) - len(p) + 1) if p else ():
                     if w[at : at + len(p)] == p:
                         hit.update(range(at, at + len(p)))
-                        found.add(str(item))
+                        found |= {str(item)} - {"None"}
+        assert got[i]["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"], got[i]["contaminated"]) == (len(w), len(hit), len(found), bool(hit))
     assert decontaminate.clean(docs, bench).count() == sum(not r["contaminated"] for r in got.values())
 
@@ -307,6 +307,23 @@ def test_toxicity(spark, docs, rows):
     assert toxicity.keep_clean(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_toxicity_of_pairs_whose_terms_are_neutral():
+    draw = np.random.default_rng(4)
+    first, second, filler = (draw.choice(1 << 20, k, replace=False) for k in (2, 2, 400))
+    sides = draw.integers(0, 2, (1600, 2))
+    texts = [np.unique(np.concatenate(([first[a], second[b]], filler[draw.random(400) < 0.6]))) for a, b in sides]
+    toxic = (sides[:, 0] == sides[:, 1]).astype(int)
+    model = toxicity.fit(texts[:1200], toxic[:1200], 0.5, common_terms=0)
+    assert {*first.tolist(), *second.tolist()} <= set(model.number)
+
+    def score(t):
+        rows = [model.number[i] for i in t.tolist() if i in model.number]
+        v = model.v[rows]
+        return model.b + model.w[rows].sum() + 0.5 * ((v.sum(0) ** 2 - (v**2).sum(0)).sum())
+
+    assert np.mean([(score(t) > 0) == bool(k) for t, k in zip(texts[1200:], toxic[1200:], strict=True)]) > 0.9
+
+
 def test_warc(spark, tmp_path):
     pages = [(3, "http://a/x\ny", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u", None), (5, "u", ""), (7, "v", "x" * 200_000), (8, "v", "<p>é</p>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
@@ -333,10 +350,13 @@ def test_urls_ranks_settle(spark):
     assert {k for k, v in got.items() if v == "block"} == set(range(9))
     links = {("a", "b"): 1.0, ("b", "a"): 0.5, ("b", "c"): 0.5, ("c", "c2"): 1.0, ("c2", "a"): 1.0}
     graph = spark.createDataFrame([("trust", a, b, p) for (a, b), p in links.items()], "kind string, src string, dst string, part double")
+    links["c", "d"] = links["d", "a"] = 0.0  # d has no out-links: its mass goes back to the seed
+    links["c", "c2"], links["c", "d"], links["d", "a"] = 0.5, 0.5, 1.0
+    graph = spark.createDataFrame([("trust", x, y, p) for (x, y), p in links.items() if x != "d"], "kind string, src string, dst string, part double")
     mass = urls.propagate(graph, spark.createDataFrame([("trust", "a", 4.0)], "kind string, host string, seed double"), 0.05, 0.85)
-    names = ["a", "b", "c", "c2"]
+    names = ["a", "b", "c", "c2", "d"]
     step = np.array([[links.get((a, b), 0.0) for a in names] for b in names])
-    want = np.linalg.solve(np.eye(4) - 0.85 * step, 0.15 * np.array([4.0, 0, 0, 0]))
+    want = np.linalg.solve(np.eye(5) - 0.85 * step, 0.15 * np.array([4.0, 0, 0, 0, 0]))
     found = {r["host"]: r["mass"] for r in mass.collect()}
     assert sum(abs(found[a] - x) for a, x in zip(names, want, strict=True)) <= 0.05
     with pytest.raises(RuntimeError, match="settled"):
@@ -367,16 +387,18 @@ def test_pipeline_keeps_the_columns(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).select(F.sum("length")).first()[0] > 0
 
 
-ODD = ["", " ", "  a", "don't can't I'll", "İstanbul İİ\nİ x", "a\n\nb", "x́ ý.", "１２ ²³. x²,", "\x00 a", " \x01 b", "<|endoftext|> a", "가 각\n한글.", "a'.s b's.", "Ġa Ċb", "A,B,C, d.,;", "\ta b\r\nc d　f", "...", " ...", "😀 é😀.", "ﬁ ﬂ, ǅ ß\nẞ."]
+ODD = ["", " ", "  a", "don't can't I'll", "İstanbul İİ\nİ x", "a\n\nb", "x́ ý.", "１２ ²³. x²,", "\x00 a", " \x01 b", "<|endoftext|> a", "a <|endoftext|> b", "x<|EndOfText|>y <|startoftext|>.", "가 각\n한글.", "a'.s b's.", "Ġa Ċb", "A,B,C, d.,;", "\ta b\r\nc d　f", "...", " ...", "😀 é😀.", "ﬁ ﬂ, ǅ ß\nẞ."]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_the_tokenizer(name):
-    use = tokens.Encoder(tokens.vocabulary(name), keep=40)
+    from tokenizers import Tokenizer
+
+    use, plain = tokens.Encoder(tokens.vocabulary(name), keep=40), Tokenizer.from_file(tokens.vocabulary(name))
     for turn in range(4):  # the cache overflows in between
         texts = [*ODD, *(f"word{turn} {'ab' * i}, common{chr(97 + i)}.\nnext" for i in range(30))]
         for part in (texts, [x for x in texts if "\x00" not in x]):
             ids, n = use.encode(part)
             ends = np.cumsum(n)
-            want = [x.ids + [tokens.END_ID] for x in use.tokenizer.encode_batch(part, add_special_tokens=False)]
+            want = [x.ids + [tokens.END_ID] for x in plain.encode_batch(part, add_special_tokens=False)]
             assert [ids[e - k : e].tolist() for e, k in zip(ends, n, strict=True)] == want
