@@ -25,15 +25,29 @@ def common_suffix(a: Column, b: Column) -> Column:
 
 
 def glob_regex(glob: str, separator: str = "/") -> str:
-    """A glob as an anchored regular expression: * and ? stay in a component, ** crosses components."""
-    out, i = "", 0
+    """A glob as an anchored regular expression: * and ? stay in a component, ** crosses components, [..] is a class, {a,b} a choice."""
+    out, i, depth = "", 0, 0
     while i < len(glob):
+        c = glob[i]
         if glob.startswith("**/", i):
             out, i = out + f"(?:.*{separator})?", i + 3
         elif glob.startswith("**", i):
             out, i = out + ".*", i + 2
-        elif glob[i] in "*?":
-            out, i = out + f"[^{separator}]" + ("*" if glob[i] == "*" else ""), i + 1
+        elif c in "*?":
+            out, i = out + f"[^{separator}]" + ("*" if c == "*" else ""), i + 1
+        elif c == "[" and (end := glob.find("]", i + 2)) > 0:
+            inside = glob[i + 1 : end]
+            negated = inside[0] in "!^"
+            inside = inside[negated:].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+            out, i = out + f"(?!{separator})[{'^' if negated else ''}{inside}]", end + 1
+        elif c == "{":
+            out, i, depth = out + "(?:", i + 1, depth + 1
+        elif c == "}" and depth:
+            out, i, depth = out + ")", i + 1, depth - 1
+        elif c == "," and depth:
+            out, i = out + "|", i + 1
         else:
-            out, i = out + re.escape(glob[i]), i + 1
+            out, i = out + re.escape(c), i + 1
+    if depth:
+        raise ValueError(f"unclosed choice in glob {glob!r}")
     return f"^{out}$"

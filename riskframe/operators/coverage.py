@@ -26,9 +26,9 @@ def uncovered_ranges(functions: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def scope(functions: DataFrame, lines: DataFrame, examples: int = 10) -> DataFrame:
-    """One row: files analysed, files with coverage, matched ones, and those on one side only, with the first few by name."""
+    """One row: files analysed, files with coverage, matched ones, and those on one side only, with the first few of either by name. A run without any coverage line has no diagnostics: see scope.scope_warning."""
     a, b = functions.select("path").distinct(), lines.select("path").distinct()
     kinds = a.withColumn("s", F.lit(1)).unionByName(b.withColumn("s", F.lit(2))).groupBy("path").agg(F.sum("s").alias("s"))
     total = kinds.agg(F.count_if(F.col("s") != 2).alias("analysed"), F.count_if(F.col("s") != 1).alias("reported"), F.count_if(F.col("s") == 3).alias("matched"), F.count_if(F.col("s") == 1).alias("source_only"), F.count_if(F.col("s") == 2).alias("report_only"))
-    first = kinds.filter("s = 1").orderBy("path").limit(examples).agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("examples"))
-    return total.join(first)
+    some = lambda s, name: kinds.filter(F.col("s") == s).orderBy("path").limit(examples).agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias(name))
+    return total.join(some(1, "examples")).join(some(2, "report_examples"))

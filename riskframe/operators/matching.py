@@ -16,6 +16,23 @@ def suffix_join(queries: DataFrame, needles: DataFrame) -> DataFrame:
     return queries.join(best, "id", "left")
 
 
+def path_index(lines: DataFrame, canonical: DataFrame) -> DataFrame:
+    """tier, key, line, hits of coverage lines(path, line, hits). canonical(path, canon) names the paths that could be resolved: they are the exact tier; all others are keyed by their components (suffix tier). Hits of spellings with one key add up; a path without components is left out."""
+    norm = F.array_join(paths.parts(F.col("path")), "/")
+    keyed = lines.join(canonical, "path", "left").select(F.when(F.col("canon").isNotNull(), "exact").otherwise("suffix").alias("tier"), F.coalesce("canon", norm).alias("key"), "line", "hits")
+    return keyed.filter("key <> ''").groupBy("tier", "key", "line").agg(F.sum("hits").alias("hits"))
+
+
+def resolved_paths(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """queries(id, path, canon) with tier and key: the exact tier's key equal to canon first, else the longest suffix of the path."""
+    keys = index.select("tier", "key").distinct()
+    exact = queries.join(keys.filter("tier = 'exact'").select(F.col("key").alias("canon"), F.col("key").alias("exact_key")), "canon", "left").select("id", "path", "exact_key")
+    tail = suffix_join(queries.select("id", "path"), keys.filter("tier = 'suffix'").select(F.col("key").alias("needle"))).select("id", "needle")
+    out = exact.join(tail, "id")
+    tier = F.when(F.col("exact_key").isNotNull(), "exact").when(F.col("needle").isNotNull(), "suffix")
+    return out.select("id", "path", tier.alias("tier"), F.coalesce("exact_key", "needle").alias("key"))
+
+
 def prefix_join(queries: DataFrame, roots: DataFrame) -> DataFrame:
     """queries(id, path) with crate: that of the longest root (crate, root) that is a component prefix of the path."""
     p = paths.parts(F.col("path"))

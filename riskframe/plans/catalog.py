@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, scoring
 from ..operators import coverage, delta, matching, ranking, similarity, triage
+from ..render import cells
 from ..sources import lcov
 from . import analog as A
 
@@ -60,10 +61,10 @@ def comment_cap(spark, d):
 
 
 def annotations(spark, d):
-    """Escaped message of each crappy entry."""
+    """Escaped message of each crappy entry; files and names get characters that must be escaped."""
     e = A.entries(spark, d).filter(F.col("crap") > THRESHOLD)
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")), F.lit(":"), F.lit("%3A")), F.lit(","), F.lit("%2C"))
-    return e.select("ord", F.concat(F.lit("::warning file="), esc(F.col("file")), F.lit(",line="), F.col("line").cast("string"), F.lit("::"), F.col("name")).alias("message"))
+    file, name = F.concat(F.lit("a,b:50%/"), "file"), F.concat("name", F.lit("\r\n100%, a:b"))
+    return e.select("ord", F.concat(F.lit("::warning file="), cells.escaped(file, True), F.lit(",line="), F.col("line").cast("string"), F.lit("::"), cells.escaped(name)).alias("message"))
 
 
 def page_paths(spark, d):
@@ -219,14 +220,16 @@ ORACLES = {
     "missing_policy": " UNION ALL ".join(f"SELECT * FROM (WITH {A.scored_sql(policy=p)} SELECT '{n}' AS policy, count(*)::BIGINT AS n, count(*) FILTER (coverage IS NULL)::BIGINT AS unknown, count(*) FILTER (crap > 30)::BIGINT AS crappy FROM e)" for n, p in (("pessimistic", "coalesce(coverage, 0::DOUBLE)"), ("optimistic", "coalesce(coverage, 100::DOUBLE)"), ("skip", "coverage"))),
     "scope_diagnostics": f"""WITH {A.FUNCTIONS}, a AS (SELECT DISTINCT path FROM f), b AS (SELECT DISTINCT path FROM l WHERE path NOT LIKE '%3'), j AS (SELECT a.path AS x, b.path AS y FROM a FULL JOIN b ON a.path = b.path)
       SELECT count(x)::BIGINT AS analysed, count(y)::BIGINT AS reported, count(*) FILTER (x = y)::BIGINT AS matched, count(*) FILTER (y IS NULL)::BIGINT AS source_only, count(*) FILTER (x IS NULL)::BIGINT AS report_only,
-      (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT x FROM j WHERE y IS NULL ORDER BY x LIMIT 10)) AS examples FROM j""",
+      (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT x FROM j WHERE y IS NULL ORDER BY x LIMIT 10)) AS examples,
+      coalesce((SELECT string_agg(y, ',' ORDER BY y) FROM (SELECT y FROM j WHERE x IS NULL ORDER BY y LIMIT 10)), '') AS report_examples FROM j""",
     "crate_rollup": f"WITH {ROWS} SELECT crate, count(*)::BIGINT AS total, count(*) FILTER (crap > 30)::BIGINT AS crappy FROM e GROUP BY 1",
     "global_summary": f"""WITH {ROWS}, w AS (SELECT * FROM e ORDER BY crap DESC, ord LIMIT 1), tot AS (SELECT count(*)::BIGINT AS total, count(*) FILTER (crap > 30)::BIGINT AS crappy FROM e)
       SELECT total, crappy, w.file AS worst_file, w.name AS worst_name, w.crap AS worst_crap, CASE WHEN crappy > 0 THEN 1 ELSE 0 END AS exit_code, CASE WHEN crappy = 0 THEN 'brightgreen' WHEN crappy <= 5 THEN 'yellow' ELSE 'red' END AS colour FROM tot, w""",
     "top_min_slice": f"WITH {ROWS} SELECT ord, file, name, crap FROM (SELECT * FROM e ORDER BY crap DESC, ord LIMIT 200) WHERE crap >= 20",
     "human_cap": f"WITH {ROWS} SELECT ord, file, name, crap FROM e WHERE crap > 30 UNION ALL SELECT ord, file, name, crap FROM (SELECT * FROM e WHERE crap <= 30 ORDER BY crap DESC, file, name, line, ord LIMIT 10)",
     "comment_cap": f"WITH {ROWS}, r AS (SELECT crate, ord, row_number() OVER (PARTITION BY crate ORDER BY crap DESC, ord)::INTEGER AS rank, greatest(count(*) OVER (PARTITION BY crate) - 25, 0)::BIGINT AS left_out FROM e) SELECT * FROM r WHERE rank <= 25",
-    "annotations": f"WITH {ROWS} SELECT ord, '::warning file=' || file || ',line=' || line || '::' || name AS message FROM e WHERE crap > 30",
+    "annotations": f"""WITH {ROWS}, x AS (SELECT *, replace('a,b:50%/' || file, '%', '%25') AS p, replace(name || chr(13) || chr(10) || '100%, a:b', '%', '%25') AS m FROM e WHERE crap > 30)
+      SELECT ord, '::warning file=' || replace(replace(p, ':', '%3A'), ',', '%2C') || ',line=' || line || '::' || replace(replace(m, chr(13), '%0D'), chr(10), '%0A') AS message FROM x""",
     "suffix_join": """WITH q AS (SELECT page_id AS id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS raw FROM pages),
       p AS (SELECT id, list_filter(string_split(raw, '/'), lambda x: x <> '') AS c FROM q),
       n AS (SELECT array_to_string(c[-2:], '/') AS needle FROM p WHERE id % 3 = 0 UNION SELECT c[-1] FROM p WHERE id % 5 = 0),
@@ -235,7 +238,8 @@ ORACLES = {
     "crate_attribution": f"""WITH {A.FUNCTIONS}, r AS (SELECT DISTINCT crate, 'src/' || crate AS root FROM f UNION SELECT DISTINCT crate || '-sub', file FROM f WHERE ord % 10 = 0 AND file LIKE '%n1.rs'),
       m AS (SELECT f.ord, r.crate, row_number() OVER (PARTITION BY f.ord ORDER BY length(root) DESC) AS k FROM f JOIN r ON f.file = root OR starts_with(f.file, root || '/')) SELECT f.ord AS id, m.crate FROM f LEFT JOIN m ON f.ord = m.ord AND k = 1""",
     "exclude_globs": f"WITH {A.FUNCTIONS} SELECT ord, file, CASE WHEN file LIKE 'src/BUILDING/%' THEN 'src/BUILDING/**' WHEN regexp_full_match(file, 'src/[^/]*/n1[^/][.]rs') THEN 'src/*/n1?.rs' WHEN file LIKE '%/n7.rs' THEN '**/n7.rs' END AS glob FROM f",
-    "unmatched_globs": "SELECT 'nothing/**' AS glob",
+    "unmatched_globs": f"""WITH {A.FUNCTIONS}, g AS (SELECT unnest(['src/BUILDING/**', 'src/*/n1?.rs', '**/n7.rs', 'nothing/**']) AS pat, unnest(['src/BUILDING/.*', 'src/[^/]*/n1[^/][.]rs', '(.*/)?n7[.]rs', 'nothing/.*']) AS re)
+      SELECT pat AS "glob" FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE regexp_full_match(f.file, g.re))""",
     "allow_filter": f"WITH {A.FUNCTIONS} SELECT ord, file, name FROM f WHERE NOT (file LIKE '%/MACHINERY/n2.rs' OR name LIKE 'fn\\_1%' ESCAPE '\\')",
     "delta_full": f"WITH {A.DELTA} SELECT ord, status, baseline_crap, previous_file FROM delta",
     "delta_removed": f"WITH {A.DELTA} SELECT * FROM removed",

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from riskframe.plans import catalog
+from riskframe.plans import catalog, more
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
@@ -23,9 +23,9 @@ def rows(columns, data):
     return sorted(tuple(cell(r[i]) for i in order) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql() | more.ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    got = catalog.queries()[name](spark, SF)
-    want = duck.sql(catalog.oracle_sql()[name])
+    got = (catalog.queries() | more.queries())[name](spark, SF)
+    want = duck.sql((catalog.oracle_sql() | more.ORACLES)[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
