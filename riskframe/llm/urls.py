@@ -61,31 +61,22 @@ def edges(rows: DataFrame, hosts: DataFrame) -> DataFrame:
     return counted.join(crawled, "dst", "left").filter("link OR crawled").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-#: Stands between the hosts without a way on and the seeds, to which their mass returns.
-_BACK = "\x00"
-
-
-def closed(graph: DataFrame, seeds: DataFrame, keep: float) -> DataFrame:
-    """graph with edges by which the mass of hosts without out-edges returns to the seeds, in proportion to their own. The step over _BACK costs nothing: its parts make up for the damping."""
-    nodes = graph.select("kind", F.col("dst").alias("host")).unionByName(seeds.select("kind", "host")).distinct()
-    ends = nodes.join(graph.select("kind", F.col("src").alias("host")).distinct(), ["kind", "host"], "left_anti")
-    total = seeds.groupBy("kind").agg(F.sum("seed").alias("total"))  # two rows
-    back = seeds.join(F.broadcast(total), "kind").select("kind", F.lit(_BACK).alias("src"), F.col("host").alias("dst"), (F.col("seed") / F.col("total") / keep).alias("part"))
-    return graph.unionByName(ends.select("kind", F.col("host").alias("src"), F.lit(_BACK).alias("dst"), F.lit(1.0).alias("part"))).unionByName(back)
-
-
 def propagate(graph: DataFrame, seeds: DataFrame, tolerance: float, keep: float, salts: int = 8, limit: int = 1000) -> DataFrame:
     """kind, host, mass. graph: kind, src, dst, part (of src's mass); seeds: kind, host, seed.
 
     A round adds the mass that arrives after one more link. With `moving` the sum of what it added, at most
-    moving / (1 - keep) is still to come to all hosts together; the rounds end when that is at most `tolerance`.
+    moving * keep / (1 - keep) is still to come to all hosts together; the rounds end when that is at most (1 - keep) of
+    `tolerance`. The mass of hosts without out-edges returns to the seeds in proportion to their own: what comes of it is
+    again the same ranks, so all of it together is the ranks without it, scaled to the sum of the seeds.
     """
-    graph = common.cut(closed(graph, seeds, keep).withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int")))
+    graph = common.cut(graph.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int")))
     own = F.round(F.col("seed") * (1 - keep), 9)
     state = common.cut(seeds.select("kind", "host", own.alias("mass"), own.alias("moving")))
     for _ in range(limit):
-        if (state.agg(F.sum("moving")).first()[0] or 0.0) / (1 - keep) <= tolerance:
-            return state.filter(F.col("host") != _BACK).select("kind", "host", "mass")
+        if (state.agg(F.sum("moving")).first()[0] or 0.0) * keep / (1 - keep) <= tolerance * (1 - keep):
+            whole = seeds.groupBy("kind").agg(F.sum("seed").alias("whole")).join(state.groupBy("kind").agg(F.sum("mass").alias("found")), "kind")  # a row a kind
+            scaled = F.round(F.col("mass") * F.col("whole") / F.col("found"), 9)
+            return state.join(F.broadcast(whole), "kind").select("kind", "host", scaled.alias("mass"))
         spread = state.filter("moving > 0").select("kind", F.col("host").alias("src"), "moving", F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt"))
         sent = graph.join(spread, ["kind", "src", "salt"]).select("kind", F.col("dst").alias("host"), (F.col("moving") * F.col("part") * keep).alias("moving"))
         both = state.select("kind", "host", "mass", F.lit(0.0).alias("moving")).unionByName(sent.select("kind", "host", F.col("moving").alias("mass"), "moving"))
