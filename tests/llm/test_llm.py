@@ -85,6 +85,26 @@ def test_suffixes(docs, rows, hot, monkeypatch):
     assert got == want
 
 
+def test_suffixes_do_not_depend_on_the_splits_of_a_scan(spark, docs, monkeypatch):
+    want, plain = {tuple(r) for r in suffixes.report(docs).collect()}, common.write_beside
+    changed = {"spark.sql.files.minPartitionNum": "7", "spark.sql.files.openCostInBytes": "1"}
+
+    def moved(rows):
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        return plain(rows)
+
+    monkeypatch.setattr(common, "write_beside", moved)
+    try:
+        assert {tuple(r) for r in suffixes.report(docs).collect()} == want
+    finally:
+        for k in changed:
+            spark.conf.unset(k)
+    for length, gram in ((40, 16), (50, 12), (200, 16)):
+        with pytest.raises(ValueError, match="gram"):
+            suffixes.repeated(docs, length, gram)
+
+
 def test_settle_streams_a_large_gram(monkeypatch):
     monkeypatch.setattr(suffixes, "HELD", 5)
     code = (np.repeat([7, 9], [30, 2]).astype(np.int64) << 24) | (1 << 16) | (1 << 8) | 3
