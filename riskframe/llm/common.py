@@ -22,8 +22,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, so that long texts do not pile up in a worker."""
+    """Small Arrow batches, so that long texts do not pile up in a worker; the driver drops what the operator before left."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    settle(spark)
+
+
+def settle(spark: SparkSession) -> None:
+    """On the driver, between steps: give back the memory of finished queries, in Python and in the JVM. A collection there also lets Spark delete the broadcasts and shuffles that nothing refers to any more, on the executors too."""
+    from py4j.protocol import Py4JJavaError
+
+    release()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    jvm.java.lang.System.gc()
+    # what planning and compiling took outside the Java heap: the JVM's own command, called by its public interface
+    of_class, none = jvm.java.lang.Class.forName, gateway.new_array(jvm.java.lang.Object, 0)
+    kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    types, given = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    for i, (kind, x) in enumerate(zip(kinds, (jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", none, gateway.new_array(jvm.java.lang.String, 0)), strict=True)):
+        types[i], given[i] = of_class(kind), x
+    try:
+        of_class("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JJavaError:  # a JVM without that command keeps the memory
+        pass
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -332,8 +332,10 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85, hot_rows: int = 32,
     star = common.cut(stars(reps, percent))
     hubs = star.select(F.col("hub").alias("grp"), F.col("hub").alias("node"), F.col("hub").alias("root")).distinct()
     near = common.cut(verified(docs, hubs, star.select(F.col("hub").alias("grp"), F.col("member").alias("node"), F.col("member").alias("root")), k, percent))
+    common.settle(docs.sparkSession)
     members, queries = candidates(docs, reps, components(near), k, percent, hot_rows, slice_rows)
     cross = verified(docs, members, queries, k, percent)
+    common.settle(docs.sparkSession)
     roots = components(near.unionByName(cross).unionByName(equal))
     known = roots.select(F.col("node").alias("doc_id"), "root")
     out = rows.select("doc_id", "n").join(F.broadcast(known) if common.small(known, 1_000_000) else known, "doc_id", "left")

@@ -153,7 +153,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, windows: int = 256, que
 
         return work
 
-    kind = "<u2" if tokens.encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+    kind = tokens.id_kind(path)
     rows = common.cut(common.per_batch(dealt.select("doc_id", "text", "queue"), make, "part int, queue int, local long, doc_id long, doc_tokens long, ids binary"), compression="zstd")
     by_part = rows.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("tokens"))
     found = {r[0]: r[1] for r in by_part.groupBy("queue").agg(F.sum("tokens")).collect()}  # a row a queue

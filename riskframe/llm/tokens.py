@@ -193,6 +193,13 @@ def encoder(path: str, keep: int = KEEP) -> Encoder:
     return _ENCODERS[path, keep]
 
 
+def id_kind(path: str) -> str:
+    """The numpy type of an id. For the driver, which needs no encoder."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 

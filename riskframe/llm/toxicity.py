@@ -160,7 +160,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")  # at most 2 * per_class rows
     rows = sorted(common.per_batch(chosen, make, "doc_id long, toxic int, ids binary").collect(), key=lambda r: (r[0], bytes(r[2])))
     total = sum(counts.values())
-    return fit([np.frombuffer(bytes(r[2]), "<u4").astype(np.int64) for r in rows], np.array([r[1] for r in rows], dtype=int), counts.get(1, 0) / total if total else 0.0)
+    model = fit([np.frombuffer(bytes(r[2]), "<u4").astype(np.int64) for r in rows], np.array([r[1] for r in rows], dtype=int), counts.get(1, 0) / total if total else 0.0)
+    del rows
+    common.settle(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
