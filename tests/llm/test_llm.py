@@ -422,3 +422,14 @@ def test_encoder_equals_the_tokenizer(name):
             ends = np.cumsum(n)
             want = [x.ids + [tokens.END_ID] for x in plain.encode_batch(part, add_special_tokens=False)]
             assert [ids[e - k : e].tolist() for e, k in zip(ends, n, strict=True)] == want
+
+
+def test_settled_driver_and_id_types(spark):
+    """Giving memory back changes no result, twice in a row too; the driver's id type is the one that holds all ids."""
+    rows = spark.range(10)
+    common.settle(spark)
+    common.settle(spark)
+    assert rows.count() == 10
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = tokens.vocabulary(name)
+        assert np.iinfo(tokens.id_kind(path)).max >= tokens.encoder(path).tokenizer.get_vocab_size() - 1
