@@ -10,9 +10,9 @@ the place of the smallest hash among its grams of `gram` bytes, so equal strings
 2. Anchors meet by gram, sorted by context and doc_id, and are read as a stream. Of equal contexts all but the smallest
    document's are repeats. The smallest document's stay open where another context of the gram agrees on the gram before
    or the one after the anchor, one of which any common string has.
-3. The strings of open anchors are sorted by bucket-pointer refinement (see bucket_order). Grams with more than `hot` open
-   anchors, of which a task could not hold all, are settled by an aggregate over the strings themselves instead, which
-   spreads and has the same result.
+3. The strings of open anchors are sorted by bucket-pointer refinement (see bucket_order). A gram with more than `hot` open
+   anchors, of which a task could not hold all, is refined across tasks first (see split_hot): its bucket is parted by the
+   q-gram at the next depth, again where a part is still too large, and each part that fits is refined in a task.
 4. The repeats' spans are gathered per document and taken out of the text.
 
 Defined results. Null text: empty. Texts under `length` bytes keep all. Null doc_id: smaller than any. Rows with one
@@ -320,6 +320,46 @@ def contexts(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
     return common.per_batch(docs, make, "gram long, doc_id long, at int, bytes binary, part int")
 
 
+def parted(rows: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """rows of grams with up to `hot` rows, and the others (None if there are none)."""
+    counted = rows.groupBy("gram").agg(F.count("*").alias("c"))
+    heavy = common.cut(counted.filter(F.col("c") > hot).select("gram", F.lit(True).alias("warm")))
+    if heavy.isEmpty():
+        return rows, None
+    marked = rows.join(F.broadcast(heavy), "gram", "left") if common.small(heavy, 500_000) else common.salted_join(rows, heavy, ["gram"], "doc_id", how="left")
+    return marked.filter("warm IS NULL").drop("warm"), marked.filter("warm").drop("warm")
+
+
+def refined(rows: DataFrame, length: int, parts: int) -> DataFrame:
+    """Spans of the repeats among rows of one gram; grams are dealt out over `parts` tasks."""
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(parts))
+    return rows.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(lambda g: refine(g, length), "doc_id long, begin int, stop int, part int")
+
+
+def split_hot(warm: DataFrame, length: int, hot: int, parts: int) -> DataFrame:
+    """Spans of the repeats of grams whose strings no task can hold.
+
+    A bucket's identifier is refined by the q-gram at its depth, for all its strings, until at most `hot` of them are left in
+    it; then a task sorts them to their end. The identifier is a hash, which only says what meets: strings are compared in
+    the task. A bucket that is too large at its full depth has equal strings: nothing is left to sort, and its smallest
+    document is an aggregate, which spreads. At most length / Q rounds.
+    """
+    begin = F.col("at") + F.col("i")
+    strings = warm.select("gram", "doc_id", "at", "part", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("i"))
+    strings = strings.select("gram", "doc_id", begin.cast("int").alias("at"), "part", F.substring("bytes", F.col("i") + 1, F.lit(length)).alias("bytes"))
+    out, depth = warm.sparkSession.createDataFrame([], "doc_id long, begin int, stop int, part int"), 0
+    while strings is not None and depth + Q <= length:
+        finer = common.cut(strings.withColumn("gram", F.xxhash64("gram", F.substring("bytes", depth + 1, Q))))
+        fitting, strings = parted(finer, hot)
+        out, depth = out.unionByName(refined(fitting, length, parts)), depth + Q
+    if strings is None:
+        return out
+    strings = common.cut(strings)
+    first = strings.groupBy("bytes").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("most > least").select("bytes", "least")
+    again = common.salted_join(strings, first, ["bytes"], "doc_id").filter("doc_id > least")
+    return out.unionByName(again.select("doc_id", F.col("at").alias("begin"), (F.col("at") + length).cast("int").alias("stop"), "part"))
+
+
 def repeated(docs: DataFrame, length: int = 50, gram: int = 16, hot: int = 20_000, bucket_rows: int = 40_000) -> DataFrame:
     """doc_id, begin, stop, part: byte spans of docs(doc_id, text, part) that go; they may overlap. part: any number that parts the rows of docs into pieces of a bounded size."""
     if gram & (gram - 1) or not 3 * gram - 1 <= length <= 127 + gram:
@@ -330,16 +370,10 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 16, hot: int = 20_00
     judged = common.cut(streams.mapInArrow(settle, OPEN))
     span = lambda rows: rows.select("doc_id", F.col("at").alias("begin"), (F.col("at") + F.col("n") + F.lit(length - 1)).cast("int").alias("stop"), "part")
     texts = common.cut(contexts(docs, judged.filter("open"), length))
-    counted = texts.groupBy("gram").agg(F.count("*").alias("c"))
-    heavy = F.broadcast(counted.filter(F.col("c") > hot).select("gram"))  # at most a 1/hot of the open anchors
     parts = max(tasks, -(-texts.count() // bucket_rows))
-    cold = texts.join(heavy, "gram", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(parts)))
-    refined = cold.groupBy("bucket").applyInPandas(lambda g: refine(g, length), "doc_id long, begin int, stop int, part int")
-    strings = texts.join(heavy, "gram", "left_semi").select("doc_id", "at", "bytes", "part", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("i"))
-    strings = strings.select("doc_id", "part", (F.col("at") + F.col("i")).cast("int").alias("begin"), F.sha2(F.substring("bytes", F.col("i") + 1, F.lit(length)), 256).alias("s"))
-    first = strings.groupBy("s").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("most > least").select("s", "least")
-    spread = common.salted_join(strings, first, ["s"], "doc_id").filter("doc_id > least").select("doc_id", "begin", (F.col("begin") + length).cast("int").alias("stop"), "part")
-    return span(judged.filter("NOT open")).unionByName(refined).unionByName(spread)
+    cold, warm = parted(texts, hot)
+    found = span(judged.filter("NOT open")).unionByName(refined(cold, length, parts))
+    return found if warm is None else found.unionByName(split_hot(warm, length, hot, parts))
 
 
 def report(docs: DataFrame, length: int = 50, gram: int = 16) -> DataFrame:
