@@ -1,13 +1,15 @@
 """Mixture-controlled packing by deficit round-robin over source queues (operator 7).
 
-Every source is a queue of token ids in the order of the input's partitions; its target share of each window is its
-share of all tokens. There is a queue for each source, however many there are; their totals, a number each, reach the
-driver and every worker. Token x of queue s, of T tokens,
-is due at (2x + 1) / 2T of the run. The rank of a token by that time, ties by queue, is a closed form of the totals, so
-any worker finds without others which superwindow (`windows` windows) a token belongs to, and each superwindow has
-exactly the same number of tokens, however large a source or a document is. Inside a superwindow each window is
-filled by deficit round-robin: a queue's deficit grows by its share of the window, whole tokens are paid out, what is
-left is carried to the next window, and a superwindow starts with the deficits with which the one before it ends.
+Every source is a queue of token ids in the order of the input's partitions. Its target share of each window is the one
+that `targets` gives, else its share of all tokens, which is the mixture that every window can have until all is packed.
+With other targets, queues run dry at different times; from then on the rest share the windows in proportion to their
+targets. There is a queue for each source, however many there are; their totals and weights, two numbers each, reach the
+driver and every worker. Token x of queue s, of weight w, is due at (2x + 1) / 2w. The rank of a token by that time, ties
+by queue, is a closed form of the totals and weights, so any worker finds without others which superwindow (`windows`
+windows) a token belongs to, and each superwindow has exactly the same number of tokens, however large a source or a
+document is. Inside a superwindow each window is filled by deficit round-robin: the deficit of a queue that is not dry
+grows by its share of the window, whole tokens are paid out, what is left is carried to the next window, and a superwindow
+starts with the deficits with which the one before it ends.
 
 Documents are cut freely; a sequence is full except the last one of all, so only that one is padded (where its length is
 not a power of two). One shuffle carries the ids, as 16-bit numbers where the vocabulary allows.
@@ -18,6 +20,7 @@ rows: packed like any other row. Empty table: no rows. Other columns are ignored
 
 from __future__ import annotations
 
+from fractions import Fraction
 from heapq import heapify, heappop, heappush
 from math import floor
 from zlib import crc32
@@ -33,29 +36,33 @@ from . import common, tokens
 SEGMENTS = "super long, queue int, at long, doc_id long, doc_tokens long, start long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+#: The queue of a null source, and the whole that weights of targets are parts of.
+NONE, WHOLE = "\x00null", 1 << 30
 
-def rank(totals: list[int], s: int, x: int, flat: np.ndarray | None = None) -> int:
-    """How many tokens of all queues are due before token x of queue s. Whole numbers of any size, so exact. flat: the totals as an array, for many queues; only products beyond 62 bits are then worked out one by one."""
-    due, out, rest_of = 2 * x + 1, x, range(len(totals))
+
+def rank(totals: list[int], s: int, x: int, flat: np.ndarray | None = None, weights: list[int] | None = None) -> int:
+    """How many tokens of all queues are due before token x of queue s. Whole numbers of any size, so exact. weights: the totals, where none are given. flat: the totals, and below them weights if given, as an array, for many queues; only products beyond 62 bits are then worked out one by one."""
+    pull = weights or totals
+    due, own, out, rest_of = 2 * x + 1, pull[s], x, range(len(totals))
     if flat is not None:
-        large = flat > (1 << 62) // due
-        whole, rest = np.divmod(np.where(large, 0, flat) * due - totals[s], 2 * totals[s])
-        ahead = whole + ((rest > 0) | (np.arange(len(flat)) < s))
+        most, pulls = np.atleast_2d(flat)[[0, -1]]
+        large = pulls > (1 << 62) // due
+        whole, rest = np.divmod(np.where(large, 0, pulls) * due - own, 2 * own)
+        ahead = np.minimum(whole + ((rest > 0) | (np.arange(len(most)) < s)), most)
         ahead[s] = 0
         out, rest_of = out + int(ahead[whole >= 0].sum()), np.flatnonzero(large).tolist()
     for t in rest_of:
-        total = totals[t]
-        if t != s and total:
-            whole, rest = divmod(due * total - totals[s], 2 * totals[s])
-            out += whole + (1 if t < s or rest else 0) if whole >= 0 else 0
+        if t != s and totals[t]:
+            whole, rest = divmod(due * pull[t] - own, 2 * own)
+            out += min(whole + (1 if t < s or rest else 0), totals[t]) if whole >= 0 else 0
     return out
 
 
-def first_at(totals: list[int], s: int, least: int, low: int, high: int, flat: np.ndarray | None = None) -> int:
+def first_at(totals: list[int], s: int, least: int, low: int, high: int, flat: np.ndarray | None = None, weights: list[int] | None = None) -> int:
     """The smallest x in [low, high] whose rank is at least `least` (high if none)."""
     while low < high:
         mid = (low + high) // 2
-        if rank(totals, s, mid, flat) >= least:
+        if rank(totals, s, mid, flat, weights) >= least:
             high = mid
         else:
             low = mid + 1
@@ -64,7 +71,12 @@ def first_at(totals: list[int], s: int, least: int, low: int, high: int, flat: n
 
 def deal(share: np.ndarray, deficit: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
     """One window: tokens to take from each queue. deficit and left are changed in place."""
-    deficit += room * share
+    pull, grown = np.where(left > 0, share, 0), float(room)
+    while grown > 1e-6 and (every := pull.sum()) > 0:  # what a queue that runs dry cannot use grows the others by their shares
+        deficit += grown * pull / every
+        over = np.where(pull > 0, np.maximum(deficit - left, 0), 0)
+        deficit -= over
+        pull, grown = np.where(deficit < left, pull, 0), over.sum()
     take = np.zeros(len(share), np.int64)
     for s in np.argsort(-deficit, kind="stable"):
         if not room or deficit[s] < 1:
@@ -85,17 +97,30 @@ def deal(share: np.ndarray, deficit: np.ndarray, left: np.ndarray, room: int) ->
     return take
 
 
-def fill(group: pd.DataFrame, totals: list[int], length: int, windows: int, kind: str) -> pd.DataFrame:
+def even(totals: list[int], weights: list[int], begun: int) -> tuple[int, int, int]:
+    """Of the queues that are dry when `begun` tokens are dealt out by weight: the largest total / weight as its two numbers (-1, 1 if none), and their number of tokens."""
+    dry, gone, pull = (-1, 1), 0, sum(weights)
+    for total, weight in sorted(zip(totals, weights, strict=True), key=lambda x: Fraction(x[0], x[1] or 1)):
+        if gone * weight + total * pull > begun * weight:
+            break
+        dry, gone, pull = (total, weight or 1), gone + total, pull - weight
+    return *dry, gone
+
+
+def fill(group: pd.DataFrame, totals: list[int], length: int, windows: int, kind: str, weights: list[int] | None = None) -> pd.DataFrame:
     """The pieces of one superwindow."""
-    all_tokens, number = sum(totals), int(group["super"].iloc[0])
+    pull, number = weights or totals, int(group["super"].iloc[0])
     group = group.sort_values(["queue", "at"], kind="stable")
     queues = sorted(group["queue"].unique())
     segments = {q: list(g.itertuples(index=False)) for q, g in group.groupby("queue")}
     counts = {q: [len(x.ids) // np.dtype(kind).itemsize for x in segments[q]] for q in queues}
     left = np.array([sum(counts[q]) for q in queues], np.int64)
-    share = np.array([totals[q] / all_tokens for q in queues])
     begun = number * windows * length
-    deficit = np.array([(begun * totals[q] - segments[q][0].at * all_tokens) / all_tokens for q in queues])
+    last, per, gone = even(totals, weights, begun) if weights else (-1, 1, 0)  # with their own shares none is dry before the end
+    going = [totals[q] * per > last * pull[q] for q in queues]
+    whole = sum(p for t, p in zip(totals, pull, strict=True) if t * per > last * p) or 1
+    share = np.array([pull[q] / whole if on else 0.0 for q, on in zip(queues, going, strict=True)])
+    deficit = np.array([((begun - gone) * pull[q] - segments[q][0].at * whole) / whole if on else float(n) for q, on, n in zip(queues, going, left.tolist(), strict=True)])
     blobs = {q: np.concatenate([np.frombuffer(x.ids, kind) for x in segments[q]]).astype("<u4").tobytes() for q in queues}
     place, spent, window = {q: (0, 0) for q in queues}, dict.fromkeys(queues, 0), 0
     rows: list[tuple] = []  # segment, its tokens before the piece, length, checksum, window, offset
@@ -121,7 +146,7 @@ def fill(group: pd.DataFrame, totals: list[int], length: int, windows: int, kind
 
 def queue_of(docs: DataFrame, queues: int) -> tuple[DataFrame, list]:
     """docs with queue, the number of its source; the list of sources. One row a source reaches the driver. Up to `queues` names are in the plan, more in a joined table."""
-    source = F.coalesce(F.col("source").cast("string"), F.lit("\x00null"))
+    source = F.coalesce(F.col("source").cast("string"), F.lit(NONE))
     names = sorted(r[0] for r in docs.select(source.alias("s")).distinct().collect())
     if len(names) > queues:
         table, rows = docs.sparkSession.createDataFrame(list(enumerate(names)), "queue int, _source string"), docs.withColumn("_source", source)
@@ -131,8 +156,17 @@ def queue_of(docs: DataFrame, queues: int) -> tuple[DataFrame, list]:
     return docs.withColumn("queue", number), names
 
 
-def pack(docs: DataFrame, path: str, length: int = 2048, windows: int = 256, queues: int = 64, keep: int = tokens.KEEP) -> DataFrame:
-    """Pieces of all rows of docs(doc_id, text, source) in sequences of `length` tokens. keep: chunks that a worker's encoder holds; changes memory and time only."""
+def weights_of(names: list[str], totals: list[int], targets: dict[str | None, float]) -> list[int]:
+    """Whole weights of the queues. Sources that targets leaves out have what it leaves of 1, in proportion to their tokens."""
+    given = [targets.get(None if n == NONE else n) for n in names]
+    rest, others = 1 - sum(targets.values()), sum(t for t, g in zip(totals, given, strict=True) if g is None)
+    if any(v <= 0 for v in targets.values()) or rest < -1e-9 or (others and rest <= 1e-9):
+        raise ValueError("targets must be positive, with a sum of at most 1, and leave something for the sources they do not name")
+    return [max(1, round((rest * t / others if others else 0) * WHOLE if g is None else g * WHOLE)) for t, g in zip(totals, given, strict=True)]
+
+
+def pack(docs: DataFrame, path: str, length: int = 2048, windows: int = 256, queues: int = 64, keep: int = tokens.KEEP, targets: dict[str | None, float] | None = None) -> DataFrame:
+    """Pieces of all rows of docs(doc_id, text, source) in sequences of `length` tokens. keep: chunks that a worker's encoder holds; changes memory and time only. targets: shares of a window by source (None: a null source); without them each source has its share of all tokens."""
     spark = docs.sparkSession
     common.prepare(spark)
     dealt, names = queue_of(docs, queues)
@@ -158,6 +192,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, windows: int = 256, que
     by_part = rows.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("tokens"))
     found = {r[0]: r[1] for r in by_part.groupBy("queue").agg(F.sum("tokens")).collect()}  # a row a queue
     totals = [int(found.get(q, 0)) for q in range(max(1, len(names)))]
+    weights = weights_of(names, totals, targets) if targets and names else None
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_part.select("part", "queue", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     base = F.broadcast(base) if common.small(base, 500_000) else base
@@ -166,14 +201,14 @@ def pack(docs: DataFrame, path: str, length: int = 2048, windows: int = 256, que
 
     def cut_up():
         def work(batch: pa.RecordBatch) -> dict:
-            flat = np.array(totals, np.int64) if len(totals) > queues else None
+            flat = np.array([totals, weights or totals], np.int64) if len(totals) > queues else None
             out: dict[str, list] = {c: [] for c in ("super", "queue", "at", "doc_id", "doc_tokens", "start", "ids")}
             for x in batch.to_pylist():
                 q, at, end = x["queue"], x["at"], x["at"] + x["doc_tokens"]
-                number, here = rank(totals, q, at, flat) // span, at
-                last = rank(totals, q, end - 1, flat) // span
+                number, here = rank(totals, q, at, flat, weights) // span, at
+                last = rank(totals, q, end - 1, flat, weights) // span
                 while here < end:
-                    stop = end if number >= last else first_at(totals, q, (number + 1) * span, here, end, flat)
+                    stop = end if number >= last else first_at(totals, q, (number + 1) * span, here, end, flat, weights)
                     if stop > here:
                         for c, v in (("super", number), ("queue", q), ("at", here), ("doc_id", x["doc_id"]), ("doc_tokens", x["doc_tokens"]), ("start", here - at), ("ids", x["ids"][(here - at) * size : (stop - at) * size])):
                             out[c].append(v)
@@ -182,7 +217,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, windows: int = 256, que
 
         return work
 
-    return common.per_batch(placed, cut_up, SEGMENTS).groupBy("super").applyInPandas(lambda g: fill(g, totals, length, windows, kind), PIECES)
+    return common.per_batch(placed, cut_up, SEGMENTS).groupBy("super").applyInPandas(lambda g: fill(g, totals, length, windows, kind, weights), PIECES)
 
 
 def op7_pack(spark, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def test_jaccard_components(docs, rows):
     assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(i for i in sets if find(i) == i)
 
 
-@pytest.mark.parametrize("hot", [2, 20_000])
+@pytest.mark.parametrize("hot", [0, 2, 20_000])
 def test_suffixes(docs, rows, hot, monkeypatch):
     monkeypatch.setattr(suffixes.repeated, "__defaults__", (50, 16, hot, 40_000))
     seen, want = set(), {}
@@ -177,6 +177,41 @@ def test_packing_keeps_the_share_of_many_sources(spark):
             assert abs(sum(counts.get((s, w), 0) for w in range(end)) - 256 * end * total / every) < 0.51 + total / every * len(totals) / 2
 
 
+def test_rank_by_weights():
+    totals, weights = [5, 0, 12, 1, 30], [9, 4, 4, 1, 2]
+    due = sorted(((2 * x + 1) / weights[s], s, x) for s, n in enumerate(totals) for x in range(n))
+    for flat in (None, np.array([totals, weights])):
+        assert [packing.rank(totals, s, x, flat, weights) for _, s, x in due] == list(range(48))
+
+
+def test_packing_fills_windows_to_targets(spark):
+    draw = random.Random(11)
+    many = [(i, " ".join(draw.choices(WORDS, k=draw.randrange(20, 60))), (None, "b", "c", "d")[min(i % 5, 3)]) for i in range(500)]
+    rows, path = spark.createDataFrame(many, "doc_id long, text string, source string").repartition(3), tokens.vocabulary("byte_bpe_50k.json")
+    own = {}
+    for r in packing.pack(rows, path).collect():
+        own[many[r["doc_id"]][2]] = own.get(many[r["doc_id"]][2], 0) + r["length"]
+    got = packing.pack(rows, path, length=256, windows=8, targets={None: 0.5, "b": 0.1}).collect()
+    want = {None: 0.5, "b": 0.1, "c": 0.4 * own["c"] / (own["c"] + own["d"]), "d": 0.4 * own["d"] / (own["c"] + own["d"])}
+    counts, dry = {}, {}
+    for r in got:
+        s = many[r["doc_id"]][2]
+        counts[r["sequence_id"], s] = counts.get((r["sequence_id"], s), 0) + r["length"]
+        dry[s] = max(dry.get(s, 0), r["sequence_id"])
+    assert sum(counts.values()) == sum(own.values()) and dry[None] < dry["c"] and dry[None] < dry["b"]
+    assert dry[None] > 20
+    going, last = set(want), max(dry.values())
+    for w in range(last):  # each window by itself, while the same queues are going in it; carried deficits stay small
+        ends = {s for s in want if dry[s] <= w}
+        if not any(dry[s] == w for s in want):
+            going = set(want) - ends
+            for s in going:
+                assert abs(counts.get((w, s), 0) - 256 * want[s] / sum(want[x] for x in going)) <= 4, (w, s)
+    for bad in ({None: 0.7, "b": 0.6}, {"b": 0}, {None: 0.5, "b": 0.5}):
+        with pytest.raises(ValueError, match="targets"):
+            packing.pack(rows, path, targets=bad)
+
+
 def test_decontaminate(spark, docs, rows):
     items = [(1, rows[40][1][:150]), (2, "one"), (3, None), (4, ""), (5, "not there at all"), (11, "one"), (None, rows[45][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
