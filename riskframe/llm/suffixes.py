@@ -16,8 +16,9 @@ the place of the smallest hash among its grams of `gram` bytes, so equal strings
 4. The repeats' spans are gathered per document and taken out of the text.
 
 Defined results. Null text: empty. Texts under `length` bytes keep all. Null doc_id: smaller than any. Rows with one
-doc_id are one document: none removes a string of another, each row loses what its own text repeats. Judged on the
-input, not on what is left. Empty table: no rows. Other columns are ignored. Text is UTF-8; what is left need not be.
+doc_id are one document: none removes a string of another, equal ones lose the same. Different texts under one doc_id in
+one partition of the input lose the places that any of them loses; ids should be unique. Judged on the input, not on
+what is left. Empty table: no rows. Other columns are ignored. Text is UTF-8; what is left need not be.
 """
 
 from __future__ import annotations
