@@ -13,7 +13,8 @@ others are revisits without payload that refer to it.
 
 Defined results. Null html: an empty payload. Null url: no target header. Line ends in a url are percent-encoded. Rows
 with a null page_id, and all rows with the smallest page_id of a payload, are responses. Repeated rows: a record each.
-Empty table: no archives, no rows. Other columns are ignored. Long payloads are held one at a time.
+Empty table: no archives, no rows. Other columns are ignored. Of an Arrow batch one payload
+at a time becomes a record.
 """
 
 from __future__ import annotations
@@ -171,8 +172,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2024
 
         def records():
             for batch in batches:
-                for x in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                    yield record(x[0], x[1], x[2].encode("utf-8", "surrogatepass"), x[3], date)
+                columns = [batch.column(c) for c in ("page_id", "url", "html", "refers_to")]
+                for i in range(batch.num_rows):
+                    page_id, url, html, refers_to = (c[i].as_py() for c in columns)
+                    yield record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to, date)
 
         task = TaskContext.get()
         some = records()
