@@ -418,6 +418,61 @@ def test_urls_ranks_settle(spark):
         urls.propagate(graph, spark.createDataFrame([("trust", "a", 4.0)], "kind string, host string, seed double"), 0.05, 0.85, limit=2)
 
 
+def test_warc_refuses_damaged_archives():
+    import io
+
+    whole = io.BytesIO()
+    records = [warc.record(i, f"http://a/{i}", f"<p>{i}</p>".encode() * 40, None, "2024-01-01T00:00:00Z") for i in range(3)]
+    assert warc.write_archive(whole, iter(records)) == 3
+    data = whole.getvalue()
+    assert list(warc.frames(io.BytesIO(data))) == records
+    size = int.from_bytes(data[4:8], "little")
+    for bad, words in ((b"", "no leading frame"), (b"\x00" + data[1:], "not a dictionary"), (data[: size // 2], "dictionary is cut off"), (data[:-3], "last frame is cut off")):
+        with pytest.raises(ValueError, match=words):
+            list(warc.frames(io.BytesIO(bad)))
+    one = records[0]
+    for bad, words in ((one.replace(b"<p>0", b"<p>9"), "block digest"), (one.replace(b"WARC/1.1", b"WARC/9.9"), "not a WARC record"), (one.replace(b"WARC-Date: ", b"WARC-Date; "), "bad header|no warc-date"), (one.replace(b"WARC-Type", b"X-Type"), "no warc-type")):
+        with pytest.raises(ValueError, match=words):
+            warc.parsed(bad)
+    wrong = one.replace(b"WARC-Payload-Digest: sha1:", b"WARC-Payload-Digest: sha1:A")
+    with pytest.raises(ValueError, match="payload's length or digest"):
+        warc.parsed(wrong)
+
+
+def test_null_ids_and_repeated_rows(spark, rows):
+    base = rows[6][1]
+    odd = [(None, base), (None, base), (None, None), (5, base), (5, base), (6, None), (7, base + " end"), (8, "one"), (9, "one")]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in odd], "doc_id long, text string, source string, gram long").repartition(2)
+    ids = sorted([i for i, _ in odd], key=str)
+    byte, word = tokens.vocabulary("byte_bpe_50k.json"), tokens.vocabulary("word_bpe_49k.json")
+    by_id = lambda df: sorted((r["doc_id"] for r in df.collect()), key=str)
+    found = jaccard.classes(docs).collect()
+    assert sorted((r["doc_id"] for r in found), key=str) == ids
+    assert {r["doc_id"]: r["component_id"] for r in found } == {None: None, 5: 5, 6: 6, 7: 5, 8: 8, 9: 8}
+    cut = suffixes.report(docs).collect()
+    size = len(base.encode())
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in cut) == sorted([("None", 0)] * 3 + [("5", size)] * 2 + [("6", 0), ("7", size), ("8", 0), ("9", 0)])
+    first = sorted(tokens.token_file(docs, word).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in first] == [None] * 3 + [5, 5, 6, 7, 8, 9]
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(first, first[1:], strict=False))
+    packed = packing.pack(docs, byte).collect()
+    assert sum(r["length"] for r in packed) == sum(len(tokens.encoder(byte).encode([t or ""])[0]) for _, t in odd)
+    prints = imatch.fingerprints(docs).collect()
+    assert sorted((r["doc_id"] for r in prints), key=str) == ids
+    assert len({r["fingerprint"] for r in prints if r["n_chars"] == len(base)}) == 1
+    bench = spark.createDataFrame([(1, base, 1), (1, base, 2), (None, "one", 3)], "item_id long, text string, doc_id long")
+    hit = decontaminate.report(docs, bench).collect()
+    assert sorted((str(r["doc_id"]), r["n_items"], r["contaminated"]) for r in hit) == sorted([("None", 1, True)] * 2 + [("None", 0, False)] + [("5", 1, True)] * 2 + [("6", 0, False), ("7", 1, True), ("8", 0, True), ("9", 0, True)])
+    labels = spark.createDataFrame([(5, 0, "x"), (5, 1, "y"), (8, 0, "z"), (None, 1, "n")], "doc_id long, toxic int, text string")
+    scored = toxicity.score(docs, toxicity.learn(docs, labels)).collect()
+    assert sorted((r["doc_id"] for r in scored), key=str) == ids and len({r["score"] for r in scored if r["doc_id"] is None}) <= 2
+    assert by_id(lines.report(docs)) == ids
+    pages = spark.createDataFrame([(1, "http://a.b/x", "h", "r", 0), (1, "http://a.b/x", "h", "r", 0), (None, None, "h", "r", 0)], "page_id long, url string, html string, rule string, host long")
+    assert sorted((str(r["page_id"]), r["host"], r["rule"], r["verdict"]) for r in urls.verdicts(pages).collect()) == [("1", "a.b", None, "allow")] * 2 + [("None", "", None, "allow")]
+    read = warc.read(spark, warc.write(pages, common.shared_folder(spark))).collect()
+    assert sorted((str(r["page_id"]), r["record_type"]) for r in read) == [("1", "response")] * 2 + [("None", "response")]
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
