@@ -13,7 +13,8 @@ least `percent` hundredths. The result is exact: the components of all links.
    the end of the order, so a passage that many documents share does not make all of them candidates.
 4. A document is a query to its own group and those before it that share a prefix token and fit in size. The group's full
    token union bounds the overlap with any member; only groups whose bound reaches t times the query's size are opened
-   and compared member by member. One match settles a component.
+   and compared member by member. One match settles a component. Before whole sets are sent to groups, parity maps of the
+   sets, about a fiftieth of their size, are: queries and members whose maps rule out every link of the group are left.
 5. Components of all links found.
 
 Defined results. Null or empty text, or one without words: an empty set, linked with nothing, its own component.
@@ -76,8 +77,22 @@ def signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A set's parity map, as many bits as items up to the next power of two: the parity of the number of items at each bit. The map of half the bits is the exclusive or of its halves."""
+    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    count = np.bincount((s >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(count.astype(np.uint8)).tobytes()
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Parity maps (64-bit words in the last axis) with so many words."""
+    while (half := maps.shape[-1] // 2) >= words:
+        maps = maps[..., :half] ^ maps[..., half:]
+    return maps
+
+
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, key (of the set), mins (min-hash values), prefix (tokens)."""
+    """doc_id, n, key (of the set), mins (min-hash values), prefix (tokens), parity (map)."""
 
     def make():
         import xxhash
@@ -87,11 +102,11 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
         def work(batch: pa.RecordBatch) -> dict:
             sets = [shingle(x) for x in batch.column("text").to_pylist()]
             mins = [signed((s[:, None] * _ODD).min(0)) if len(s) else [] for s in sets]
-            return {"doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "mins": [list(m) for m in mins], "prefix": [signed(s[: prefix_size(len(s), percent)]) for s in sets]}
+            return {"doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "mins": [list(m) for m in mins], "prefix": [signed(s[: prefix_size(len(s), percent)]) for s in sets], "parity": [parity(s) for s in sets]}
 
         return work
 
-    return common.per_batch(docs.select("doc_id", "text"), make, "doc_id long, n long, key binary, mins array<long>, prefix array<long>")
+    return common.per_batch(docs.select("doc_id", "text"), make, "doc_id long, n long, key binary, mins array<long>, prefix array<long>, parity binary")
 
 
 def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -142,9 +157,7 @@ def open_groups(group: pd.DataFrame, percent: int) -> pd.DataFrame:
             n = len(sets[q])
             if 100 * overlap(sets[q], union) < percent * n:
                 continue
-            both = n + sizes[members]
-            # linked sets have at least percent / (100 + percent) of both sizes in common, so they differ in few items
-            most = both - 2 * (-(-both * percent // (100 + percent)))
+            most = most_differing(n, sizes[members], percent)
             near = members[(np.bitwise_count(bits[members] ^ bits[q]).sum(1, dtype=np.int64) <= most) & (roots[members] != roots[q])]
             known = set()
             for m in near:
@@ -157,8 +170,47 @@ def open_groups(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def verified(docs: DataFrame, members: DataFrame, queries: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links a, b of queries (grp, node, root) to members (grp, node, root). A group's queries are split over salts, its few members go to each."""
+def most_differing(n: int, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """In how many items at most a set of n and sets of these sizes differ if they link: at least percent / (100 + percent) of both sizes are in common."""
+    both = n + sizes
+    return both - 2 * (-(-both * percent // (100 + percent)))
+
+
+def may_link(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """grp, node, root, role of a group's queries (role 1) and members (role 0) that by sizes and parity maps may link across roots; no link is lost."""
+    n, roles, roots = (group[c].to_numpy(np.int64) for c in ("n", "role", "root"))
+    maps = [np.frombuffer(x, np.uint64) for x in group["parity"]]
+    words = np.array([len(x) for x in maps])
+    tables = {}
+    for w in np.unique(words[roles == 0]).tolist():
+        at = np.flatnonzero((roles == 0) & (words == w))
+        tables[w, w] = at, np.stack([maps[i] for i in at])
+    widths, kept = [w for w, _ in tables], np.zeros(len(group), bool)
+    for q in np.flatnonzero(roles == 1).tolist():
+        for w in widths:
+            at, table = tables[w, w]
+            fits = np.flatnonzero((100 * np.minimum(n[at], n[q]) >= percent * np.maximum(n[at], n[q])) & (roots[at] != roots[q]))
+            if len(fits):
+                least = min(w, int(words[q]))
+                if (w, least) not in tables:
+                    tables[w, least] = at, folded(table, least)
+                apart = np.bitwise_count(tables[w, least][1][fits] ^ folded(maps[q], least)).sum(1, dtype=np.int64)
+                if len(near := at[fits[apart <= most_differing(n[q], n[at[fits]], percent)]]):
+                    kept[q] = kept[near] = True
+    return group.loc[kept, ["grp", "node", "root", "role"]]
+
+
+def sifted(maps: DataFrame, members: DataFrame, queries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The members and queries (grp, node, root) that the maps (node, n, parity) leave. Growing tables share ever more tokens by chance, so most groups asked hold no link; whole sets are sent for the rest only."""
+    rows = dealt(members, queries)
+    full = maps.join(F.broadcast(rows) if common.small(rows, 1_000_000) else rows, "node")
+    left = common.cut(full.groupBy("grp", "salt").applyInPandas(lambda g: may_link(g, percent), "grp long, node long, root long, role int"))
+    common.forget(rows)
+    return tuple(left.filter(F.col("role") == role).select("grp", "node", "root").distinct() for role in (0, 1))
+
+
+def dealt(members: DataFrame, queries: DataFrame) -> DataFrame:
+    """grp, salt, node, root, role (0 of members, 1 of queries), cut. A group's queries are split over salts, its few members go to each."""
     salts = 8
     queries = common.cut(queries)
     counted = queries.groupBy("grp").agg(F.count("*").alias("c"))
@@ -167,7 +219,12 @@ def verified(docs: DataFrame, members: DataFrame, queries: DataFrame, k: int, pe
     ask = common.salted_join(queries, parts, ["grp"], "node", salts).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
     hold = members.join(parts, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = ask.select("grp", "salt", "node", "root", F.lit(1).alias("role")).unionByName(hold.select("grp", "salt", "node", "root", F.lit(0).alias("role")))
-    rows = common.cut(rows)
+    return common.cut(rows)
+
+
+def verified(docs: DataFrame, members: DataFrame, queries: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links a, b of queries (grp, node, root) to members (grp, node, root)."""
+    rows = dealt(members, queries)
     items = sets_of(docs, common.cut(rows.select("node").distinct()), k)
     full = items.join(F.broadcast(rows) if common.small(rows, 1_000_000) else rows, "node")
     return full.groupBy("grp", "salt").applyInPandas(lambda g: open_groups(g, percent), "a long, b long")
@@ -230,10 +287,11 @@ def candidates(docs: DataFrame, reps: DataFrame, comps: DataFrame, k: int, perce
         return out.select("node", "n", "prefix", F.coalesce("root", "node").alias("root"), F.coalesce("own", F.xxhash64("node", F.lit("alone"))).alias("grp"))
 
     first = with_group(reps.select("doc_id", "n", "prefix"))
-    rows, hot, counted = first, np.zeros(0, np.uint64), None
+    rows, hot, counted, used = first, np.zeros(0, np.uint64), None, []
     for turn in range(2):
         tokens = rows.select("node", "root", F.explode("prefix").alias("token"))
         counted = common.cut(tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token", "c"))
+        used.append(counted)
         if turn:
             break
         limit = hot_rows
@@ -244,18 +302,25 @@ def candidates(docs: DataFrame, reps: DataFrame, comps: DataFrame, k: int, perce
         if not len(hot):
             break
         ids = common.cut(tokens.join(F.broadcast(new.select("token")), "token").select("node").distinct())
-        changed = common.cut(reordered(docs, ids, hot, k, percent)).dropDuplicates(["doc_id", "n", "prefix"])
+        used += [ids, common.cut(reordered(docs, ids, hot, k, percent))]
+        changed = used[-1].dropDuplicates(["doc_id", "n", "prefix"])
         rest = first.join(F.broadcast(ids) if common.small(ids, 1_000_000) else ids, "node", "left_anti")
         rows = rest.unionByName(with_group(changed))
+    common.settle(docs.sparkSession)  # the shuffles of the counts
     both = counted.select("token")
-    few = common.small(both, 1_000_000)
-    posts = rows.select("node", "n", "root", "grp", F.size("prefix").alias("p"), F.explode("prefix").alias("token"))
-    posts = posts.join(F.broadcast(both) if few else both, "token").withColumn("s", F.count("*").over(Window.partitionBy("node")))
+    # only node and token are shuffled with the tokens; what else a document has joins the few that stay
+    posts = rows.select("node", F.explode("prefix").alias("token")).join(F.broadcast(both) if common.small(both, 1_000_000) else both, "token")
+    size = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1  # prefix_size
+    about = rows.select("node", "n", "root", "grp", size.cast("int").alias("p")).distinct()
+    posts = posts.withColumn("s", F.count("*").over(Window.partitionBy("node"))).join(about, "node")
     # of a linked pair's prefixes the one that ends first in the order is wholly known to the other document: its tokens
     # that no other component has are missing there, so that document must reach the threshold without them
     posts = common.cut(posts.withColumn("strong", (F.col("n") - F.col("p") + F.col("s")) * 100 >= F.col("n") * percent).drop("s"))
-    rest = F.col("n") - F.col("p")
-    return asked_groups(posts, percent)
+    for df in used:
+        common.forget(df)
+    found = asked_groups(posts, percent)
+    common.forget(posts)
+    return found
 
 
 def asked_groups(posts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -264,6 +329,7 @@ def asked_groups(posts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     The matrix first meets itself, group by group, so a token that many documents share costs its groups and not its
     documents. Of two groups the smaller one's documents are the queries; each then meets the other's row of the matrix.
     """
+    common.settle(posts.sparkSession)
     rest = F.col("n") - F.col("p")
     matrix = posts.groupBy("token", "grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(rest).alias("rest"), F.max("strong").alias("strong"))
     matrix = common.cut(matrix)
@@ -290,7 +356,10 @@ def asked_groups(posts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     parts = max(2, int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // 20_000))
     asked = rows.withColumn("bucket", F.pmod(F.xxhash64("asks"), F.lit(parts))).groupBy("bucket").applyInPandas(lambda g: reachable(g, percent), "grp long, node long, root long")
     asked = common.cut(asked)
-    return documents.select("grp", "node", "root").distinct().join(asked.select("grp").distinct(), "grp", "left_semi"), asked
+    members = common.cut(documents.select("grp", "node", "root").distinct().join(asked.select("grp").distinct(), "grp", "left_semi"))
+    for df in (matrix, documents, pairs, rows):
+        common.forget(df)
+    return members, asked
 
 
 def reachable(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -334,6 +403,8 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85, hot_rows: int = 32,
     near = common.cut(verified(docs, hubs, star.select(F.col("hub").alias("grp"), F.col("member").alias("node"), F.col("member").alias("root")), k, percent))
     common.settle(docs.sparkSession)
     members, queries = candidates(docs, reps, components(near), k, percent, hot_rows, slice_rows)
+    common.settle(docs.sparkSession)
+    members, queries = sifted(reps.select(F.col("doc_id").alias("node"), "n", "parity"), members, queries, percent)
     cross = verified(docs, members, queries, k, percent)
     common.settle(docs.sparkSession)
     roots = components(near.unionByName(cross).unionByName(equal))

@@ -4,9 +4,10 @@ import hashlib
 import random
 import re
 import zlib
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -523,3 +524,36 @@ def test_settled_driver_and_id_types(spark):
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         path = tokens.vocabulary(name)
         assert np.iinfo(tokens.id_kind(path)).max >= tokens.encoder(path).tokenizer.get_vocab_size() - 1
+
+
+def test_jaccard_sends_whole_sets_only_where_maps_allow_a_link(spark, monkeypatch):
+    rng, many, asked, plain = np.random.default_rng(5), [], [], jaccard.sets_of
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    for i in range(20):  # pairs with about 0.45 of their shingles in common share enough tokens to be asked
+        shared = words(130)
+        many += [(2 * i, f"{shared} {words(75)}"), (2 * i + 1, f"{shared} {words(75)}")]
+
+    def counted(docs, ids, k):
+        asked.append(ids.count())
+        return plain(docs, ids, k)
+
+    monkeypatch.setattr(jaccard, "sets_of", counted)
+    got = jaccard.classes(spark.createDataFrame(many, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, i) for i in range(40)]
+    assert asked[-1] == 0
+
+
+def test_jaccard_maps_lose_no_link():
+    rng, sets = np.random.default_rng(6), []
+    for n in (1, 3, 60, 64, 65, 127, 130, 500, 1030, 3000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for less in (0, n // 20, n // 8, n // 3):  # sizes on both sides of a map's number of bits
+            other = rng.integers(0, 2**63, n // 40).astype(np.uint64)
+            sets += [np.unique(base[less:]), np.unique(np.concatenate((base[less:], other)))]
+    for percent in (30, 85):
+        group = pd.DataFrame([(7, i, i, role, len(s), jaccard.parity(s)) for i, s in enumerate(sets) for role in (0, 1)], columns=["grp", "node", "root", "role", "n", "parity"])
+        left = {(r.node, r.role) for r in jaccard.may_link(group, percent).itertuples()}
+        linked = {i for i, j in permutations(range(len(sets)), 2) if 100 * jaccard.overlap(sets[i], sets[j]) >= percent * len(np.union1d(sets[i], sets[j]))}
+        assert linked and {(i, role) for i in linked for role in (0, 1)} <= left
+    alone = pd.DataFrame([(7, i, i, i % 2, 800, jaccard.parity(np.unique(rng.integers(0, 2**63, 800).astype(np.uint64)))) for i in range(20)], columns=group.columns)
+    assert not len(jaccard.may_link(alone, 85))
