@@ -557,3 +557,23 @@ def test_jaccard_maps_lose_no_link():
         assert linked and {(i, role) for i in linked for role in (0, 1)} <= left
     alone = pd.DataFrame([(7, i, i, i % 2, 800, jaccard.parity(np.unique(rng.integers(0, 2**63, 800).astype(np.uint64)))) for i in range(20)], columns=group.columns)
     assert not len(jaccard.may_link(alone, 85))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_keeps_a_chunk_once_whatever_marks_follow(name):
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary(name)
+    use, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    ended = ["x word" + m for m in (*tokens._MARKS, "...", ".)", '."')] + [" word, word. (word) word;\nword!"]
+    odd = [f"{a}a{c}{d}b {c}{d} c{d}" for c in spaces for d in (c, " ", "\n") for a in ("", c)]
+    odd += [f"{c}{m} {m}{c}{m} {c}-{m}" for c in ("", "7", "\u00b2", "\u00bd", "\u0301", "e\u0301", "\u4e2d", "\U0001f600", "'s", "_", "\ud55c") for m in (".", "),", "#(")]
+    for part in (ended, odd):
+        ids, counts = use.encode(part)
+        want = [[*plain.encode(x, add_special_tokens=False).ids, tokens.END_ID] for x in part]
+        assert counts.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]
+        if part is ended:
+            assert sorted(x for x in use.known if "word" in x and "(" not in x) == ["\nword", " word"]
+    assert "".join(spaces) == tokens._BLANKS[1:-4]
