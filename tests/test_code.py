@@ -94,3 +94,37 @@ def test_files(spark, tmp_path):
     found = code.parsed(code.walk(spark, str(tmp_path), ["skip/**"]))
     assert [(r["file"], r["name"], r["cc"]) for r in code.functions(found, 0.5).collect()] == [("a/x.rs", "f", 1.5)]
     assert [r["file"] for r in code.warnings(found).collect()] == ["b.rs"]
+
+
+def test_a_long_file_is_held_by_the_item():
+    """Neither its tokens nor its trees stay: memory is that of an item, also inside of a module."""
+    import tracemalloc
+
+    peaks = []
+    for n in (200, 4000):
+        text = "mod m {\n" + "fn f(a: bool) { if a && b { c.unwrap(); } }\n" * n + "}\nfn last() {}\n"
+        seen = []
+        tracemalloc.start()
+        measures.each(text, measures.function_rows, lambda f, seen=seen: seen.append((f["name"], f["start_line"])))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(seen) == n + 1 and seen[-2:] == [("f", n + 1), ("last", n + 3)]
+    assert peaks[1] < 2 * peaks[0] + 1e6
+
+
+def test_errors_of_a_long_text_are_those_of_the_whole():
+    """A bad token is told before a bad item above it, and a file that fails at its end has no functions."""
+    with pytest.raises(lexer.CodeError, match="line 3003: the comment does not end"):
+        measures.functions("fn f() { if }\n" + "fn g() {}\n" * 3000 + "\n/* open")
+    with pytest.raises(lexer.CodeError, match="line 3001"):
+        measures.functions("fn f() {}\n" * 3000 + "fn g( {")
+
+
+def test_pieces_of_a_long_file(spark):
+    text = "".join(f"fn f{k}() {{ {'if a {} ' * (k % 3)}}}\n" for k in range(2500))
+    files = spark.createDataFrame([("a.rs", text), ("b.rs", text + "fn broken( {"), ("c.rs", ""), ("d.rs", "fn d() {}")], "file string, text string").coalesce(1)
+    found = code.parsed(files)
+    got = [(r["file"], r["name"], r["cc"]) for r in code.functions(found).orderBy("ord").collect()]
+    assert got == [("a.rs", f"f{k}", 1.0 + k % 3) for k in range(2500)] + [("d.rs", "d", 1.0)]
+    assert max(r["n"] for r in found.selectExpr("size(found) AS n").collect()) <= 1000
+    assert [r["file"] for r in code.warnings(found).collect()] == ["b.rs"]
