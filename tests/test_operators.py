@@ -1,6 +1,8 @@
 """Hand-derived cases of single operators."""
 
 import itertools
+from collections import Counter
+from random import Random
 
 import pandas as pd
 import pytest
@@ -74,3 +76,48 @@ def test_groups_of_a_long_chain(spark):
     got = {r["members"] for r in similarity.groups(spark.createDataFrame(chain, "first long, second long, score double")).collect()}
     assert got == {",".join(map(str, m)) for m, _, _ in similarity.grouped(pd.DataFrame(chain, columns=["first", "second", "score"]))}
     assert "68,69,70" in got
+
+
+def plain_novelty(now, before):
+    """grp -> (size, status, grown_from), by all pairs of groups."""
+    sides = [{g: Counter(m for h, m in rows if h == g) for g in {g for g, _ in rows}} for rows in (now, before)]
+    out = {}
+    for g, a in sides[0].items():
+        held = max((sum((a & b).values()) for b in sides[1].values()), default=0)
+        status = "new" if held < 2 else "unchanged" if held == sum(a.values()) else "grown"
+        out[g] = (sum(a.values()), status, held if status == "grown" else None)
+    return out
+
+
+def drawn(seed, groups, universe, most):
+    random = Random(seed)
+    return [(g, random.randrange(universe)) for g in range(groups) for _ in range(random.randint(1, most))]
+
+
+@pytest.mark.parametrize("small", [64, 4])
+def test_novelty_and_resolved_equal_all_pairs(spark, monkeypatch, small):
+    monkeypatch.setattr(similarity, "SMALL", small)  # both ways to meet
+    for seed, shift in ((1, 0), (2, 3)):
+        before = drawn(seed, 30, 25, 9)
+        kept = [(g + shift, m) for k, (g, m) in enumerate(before) if k % 5 and g % 4]
+        now = kept + drawn(seed + 7, 8, 25, 12) + [(99, 7), (99, 7), (98, 1000), (98, 1001)]
+        a, b = (spark.createDataFrame(rows, "grp long, member long") for rows in (now, before))
+        assert {r[0]: (r[1], r[2], r[3]) for r in similarity.novelty(a, b).collect()} == plain_novelty(now, before)
+        sets = [{g: {m for h, m in rows if h == g} for g in {g for g, _ in rows}} for rows in (now, before)]
+        want = {(g, sum(h == g for h, _ in before)) for g, s in sets[1].items() if sum(h == g for h, _ in before) >= 2 and not any(len(s & t) >= 2 for t in sets[0].values())}
+        assert {tuple(r) for r in similarity.resolved(a, b).collect()} == want
+
+
+def test_candidates_of_groups_that_kept_their_members_are_few(spark):
+    """Many groups over few members: the ones that share some members with a group are no candidates once it has its own back."""
+    before = drawn(5, 400, 40, 12)
+    a, b, _ = similarity.items(*(spark.createDataFrame(rows, "grp long, member long") for rows in (before, before)))
+    own = a.withColumn("least", F.col("n")).filter("n >= 2")
+    assert similarity.candidates(own, b.withColumn("least", F.lit(2))).count() < 400 * 400 / 20
+
+
+def test_groups_without_a_name_count_as_recorded_ones(spark):
+    a = spark.createDataFrame([(1, 5), (1, 6), (None, 7), (None, 8)], "grp long, member long")
+    b = spark.createDataFrame([(None, 5), (None, 6), (2, 7), (2, 8), (3, 1), (3, 2)], "grp long, member long")
+    assert {r["grp"]: r["status"] for r in similarity.novelty(a, b).collect()} == {1: "unchanged", None: "new"}
+    assert {tuple(r) for r in similarity.resolved(a, b).collect()} == {(None, 2), (3, 2)}
