@@ -121,3 +121,30 @@ def test_groups_without_a_name_count_as_recorded_ones(spark):
     b = spark.createDataFrame([(None, 5), (None, 6), (2, 7), (2, 8), (3, 1), (3, 2)], "grp long, member long")
     assert {r["grp"]: r["status"] for r in similarity.novelty(a, b).collect()} == {1: "unchanged", None: "new"}
     assert {tuple(r) for r in similarity.resolved(a, b).collect()} == {(None, 2), (3, 2)}
+
+
+@pytest.mark.parametrize("modulus", [None, 3])
+def test_pairs_equal_all_pairs_also_where_hashes_clash(spark, monkeypatch, modulus):
+    if modulus:
+        monkeypatch.setattr(similarity, "hashed", lambda c: F.pmod(F.xxhash64(c), F.lit(modulus)))
+    random = Random(3)
+    base = [{f"s{random.randrange(40)}" for _ in range(random.randint(1, 12))} for _ in range(25)]
+    sets = dict(enumerate([*base, *({x for x in s if random.random() > 0.1} | {f"u{k}"} if k % 3 else s for k, s in enumerate(base))]))
+    rows = [(k, x) for k, s in sets.items() for x in s]
+    for t in (0.5, 0.82, 1.0):
+        got = {(r[0], r[1]): r[2] for r in similarity.pairs(spark.createDataFrame(rows, "id long, shape string"), t).collect()}
+        score = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in itertools.combinations(sets, 2) if min(len(sets[i]), len(sets[j])) >= 2}
+        assert got == {p: s for p, s in score.items() if s >= t}
+
+
+def test_pairs_are_found_once_for_groups(spark):
+    """The steps of the labels read the pairs, they do not find them anew."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    found = spark.createDataFrame([(k, k + 1, 0.9) for k in range(10)], "first long, second long, score double")
+    assert similarity.groups(found.mapInArrow(told, found.schema)).count() and calls.value == 10
